@@ -35,5 +35,29 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_pii": op3_pii, "op4_bpe": op4_bpe, "op6_packing": op6_packing, "op7_warc": op7_warc}
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import build_index, search
+
+    return search(*build_index(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_bpe": op4_bpe, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_warc": op7_warc, "op9_ann": op9_ann}
 ORACLES: dict[str, str] = {}

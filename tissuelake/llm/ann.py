@@ -131,7 +131,7 @@ def _scan(ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, queries: tuple[n
         for j, table in enumerate(books.tables(matrix[i : i + 256]), i):
             guess = table.ravel().take(where).sum(0)
             take = np.argpartition(-guess, rerank)[:rerank] if len(guess) > rerank else np.arange(len(guess))
-            exact = distinct[take] @ matrix[j]
+            exact = (distinct[take] * matrix[j]).sum(1)  # one order of summation, so equal vectors tie exactly
             n = np.minimum(size[take], k + 1)
             got = members[np.repeat(at[take], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             score, found = np.repeat(exact, n), ids[got]

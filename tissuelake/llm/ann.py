@@ -6,7 +6,9 @@ products. Codebooks are fitted on about ``sample`` rows (chosen by a hash of the
 
 A search scans the codes of all rows: a query's inner products with the centroids form tables, two codes share one
 byte and one table of 256 entries, and a row's estimate is the sum of its table entries. Of every block of ``ROWS``
-rows the ``rerank`` best estimates among distinct vectors get the exact inner product in double precision.
+rows the ``rerank`` best estimates among distinct vectors, and all others that the estimates' usual error (root mean
+square on the sample) leaves level with them, get the exact inner product in double precision. So a crowd of almost
+equal vectors, whose codes are the same, is reranked whole.
 
 Rows without id, vector or finite components, and zero vectors, take no part, nor do rows of another dimension than
 the longest. Equal vectors stand for one another: ties go to smaller ids. A query's own id is excluded; fewer than k
@@ -36,6 +38,7 @@ class Codebooks:
         self.dim, self.eta = dim, eta
         self.subs = -(-dim // 4) * 2
         self.centroids = np.zeros((self.subs, 16, 2))
+        self.noise = 0.0
 
     def _split(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.pad(x, ((0, 0), (0, 2 * self.subs - self.dim)))
@@ -81,6 +84,9 @@ class Codebooks:
                         self.centroids[m, c] = x[rng.integers(len(x)), m]
                 new = ((x[:, m] - self.centroids[m][near[:, m]]) * unit[:, m]).sum(1)
                 total, along[:, m] = total - along[:, m] + new, new
+        near, _ = self._assign(x, unit, 1)
+        left = np.stack([x[:, m] - self.centroids[m][near[:, m]] for m in range(self.subs)], 1)
+        self.noise = float(np.sqrt((left**2).sum() / len(x) / self.dim))
         return self
 
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -130,7 +136,8 @@ def _scan(ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, queries: tuple[n
     for i in range(0, len(names), 256):
         for j, table in enumerate(books.tables(matrix[i : i + 256]), i):
             guess = table.ravel().take(where).sum(0)
-            take = np.argpartition(-guess, rerank)[:rerank] if len(guess) > rerank else np.arange(len(guess))
+            cut = np.partition(guess, -rerank)[-rerank] if len(guess) > rerank else -np.inf
+            take = np.flatnonzero(guess >= cut - books.noise * np.linalg.norm(matrix[j]))
             exact = (distinct[take] * matrix[j]).sum(1)  # one order of summation, so equal vectors tie exactly
             n = np.minimum(size[take], k + 1)
             got = members[np.repeat(at[take], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]

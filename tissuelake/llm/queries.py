@@ -59,5 +59,17 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(*build_index(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_bpe": op4_bpe, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_warc": op7_warc, "op9_ann": op9_ann}
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import lm_report
+
+    return lm_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_bpe": op4_bpe, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_jaccard": op8_jaccard, "op9_ann": op9_ann, "op10_katz": op10_katz}
 ORACLES: dict[str, str] = {}

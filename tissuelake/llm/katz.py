@@ -15,14 +15,16 @@ and answers each chunk with counts in the order asked. Contexts of more than ``h
 buckets by their successors; their totals (at most ``MOST_HEAVY`` rows) go to all tasks. The counts gathered are those
 of the whole training corpus: nothing is capped or sampled.
 
-Words are told apart by 64-bit hashes, successors of one context by 48 bits. Null texts count as empty (one end token);
+Words are told apart by 64-bit hashes, successors of one context by 40 bits. Null texts count as empty (one end token);
 rows with null ids train the model and are scored; repeated rows count as often as they stand; other columns are
 ignored. With no training text every score is 0.
 """
 
 from __future__ import annotations
 
+import gc
 import io
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _point_values, _powers, gather, mix64
@@ -41,21 +43,29 @@ K = 5
 END, BOS = np.uint64(0x1D), np.uint64(0x2E)
 MOST_HEAVY = 1 << 17
 WINDOW = 1 << 20
-LOW48 = np.uint64((1 << 48) - 1)
+LOW40 = np.uint64((1 << 40) - 1)
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    raw = io.BytesIO()
+    """Flat arrays as one blob; equal bytes of all numbers stand together, since high bytes hardly vary."""
+    raw = []
     for a in arrays:
-        np.lib.format.write_array(raw, np.ascontiguousarray(a), version=(1, 0), allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(raw.getvalue())
+        a = np.ascontiguousarray(a)
+        raw += [b"%s %d %d\n" % (a.dtype.str.encode(), a.shape[0], a.shape[1] if a.ndim > 1 else 0), a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
 
 
 def unpack_arrays(blob: bytes) -> list[np.ndarray]:
-    raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))
-    size, out = len(raw.getbuffer()), []
-    while raw.tell() < size:
-        out.append(np.lib.format.read_array(raw, allow_pickle=False))
+    raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
+    while at < len(raw):
+        end = raw.index(b"\n", at)
+        kind, rows, columns = raw[at:end].split()
+        kind, rows, columns = np.dtype(kind.decode()), int(rows), int(columns)
+        n = rows * max(columns, 1)
+        data = np.frombuffer(raw, np.uint8, n * kind.itemsize, end + 1).reshape(kind.itemsize, n)
+        a = np.ascontiguousarray(data.T).reshape(-1).view(kind)
+        out.append(a.reshape(rows, columns) if columns else a)
+        at = end + 1 + n * kind.itemsize
     return out
 
 
@@ -210,7 +220,7 @@ class Chunk:
         key, self.which = np.unique(context * (len(self.words) + 1) + self.at, return_inverse=True)
         self.context, self.word = key // (len(self.words) + 1), key % (len(self.words) + 1)
         names = np.append(self.words, BOS)
-        self.v, self.w = names[self.context], self.words[self.word] & LOW48
+        self.v, self.w = names[self.context], self.words[self.word] & LOW40
         spread = np.isin(names, heavy)[self.context]
         where = np.where(spread, mix64(self.v ^ mix64(self.w)), mix64(self.v)) % np.uint64(self.buckets)
         self.place = where.astype(np.int64)
@@ -222,7 +232,7 @@ class Chunk:
             v = self.v[rows]
             new = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             w = self.w[rows]
-            yield b, pack_arrays(v[new], np.diff(np.append(new, len(v))).astype(np.int32), (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), (w >> np.uint64(32)).astype(np.uint16), seen[rows], np.minimum(counts[self.word[rows]], 2**31 - 1).astype(np.int32))
+            yield b, pack_arrays(v[new], np.diff(np.append(new, len(v))).astype(np.int32), (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), (w >> np.uint64(32)).astype(np.uint8), seen[rows], np.minimum(counts[self.word[rows]], 2**31 - 1).astype(np.int32))
 
 
 def _add_words(bucket: int, held: dict, heavy: int) -> Iterator[pa.RecordBatch]:
@@ -265,13 +275,13 @@ def _add_bigrams(bucket: int, held: dict, uni: Unigrams) -> Iterator[pa.RecordBa
         backing = np.logical_or.reduceat(got == 0, starts)  # contexts whose backoff weight the chunk needs
         which = np.searchsorted(names, a[0])
         small = np.int32 if got.max() < 2**31 else np.int64
-        rows.append((other, bucket, 4, pack_arrays(got.astype(small), totals[which, 0].astype(np.int64), totals[which[backing], 1], backing, totals[which, 2:].T.astype(np.int32))))
+        rows.append((other, bucket, 4, pack_arrays(got.astype(small), totals[which, 0].astype(np.int64), totals[which[backing], 1], backing, totals[which, 2:].astype(np.int32))))
     n = np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2]
     rows.append((bucket, 0, 5, pack_arrays(n.astype(np.int64), names[spread], totals[spread])))
     order = np.lexsort((w[seen], v[seen]))
     kept, n_kept = np.unique(v[seen], return_counts=True)
     ws = w[seen][order]
-    rows.append((bucket, 0, 6, pack_arrays(kept, n_kept.astype(np.int32), (ws & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ws >> np.uint64(32)).astype(np.uint16), count[seen][order].astype(np.int32 if count.max(initial=0) < 2**31 else np.int64))))
+    rows.append((bucket, 0, 6, pack_arrays(kept, n_kept.astype(np.int32), (ws & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ws >> np.uint64(32)).astype(np.uint8), count[seen][order].astype(np.int32 if count.max(initial=0) < 2**31 else np.int64))))
     yield _batch(rows)
 
 
@@ -285,6 +295,14 @@ def bigram_probability(c: np.ndarray, total: np.ndarray, p_seen: np.ndarray, by_
     return np.where(total == 0, p, np.where(c > 0, scale * d[np.minimum(c, K + 1)] * c / known, back * p))
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs, whose results are written, before the next one."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 @dataclass
 class KatzModel:
     """``words`` and ``pairs`` are tables (key = bucket, data = packed arrays) of the n-gram counts."""
@@ -324,6 +342,7 @@ def katz_scores(docs: DataFrame, train_col: str, chunk_bytes: int = 12_000_000,
         if uni.unknown <= 1e-12:
             uni.unknown, uni.scale = 1 / (uni.total + 1), uni.total / (uni.total + 1)
     known = spark.sparkContext.broadcast(uni)
+    _tidy(spark)
 
     def send(chunk: int, table: pa.Table) -> Iterator[tuple]:
         raw = io.BytesIO()
@@ -351,7 +370,7 @@ def katz_scores(docs: DataFrame, train_col: str, chunk_bytes: int = 12_000_000,
     asked = _by_key(rows(), buckets, ask_bigrams, schema)
     pairs = materialize(_by_key(asked, buckets, lambda b, held: _add_bigrams(b, held, known.value), schema), "katz-pairs")
     del asked
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files of what is written now
+    _tidy(spark)
     n, parts = np.zeros(K + 2, np.int64), []
     for r in pairs.filter("kind = 5").select("data").collect():
         a = unpack_arrays(bytes(r["data"]))
@@ -379,7 +398,7 @@ def katz_scores(docs: DataFrame, train_col: str, chunk_bytes: int = 12_000_000,
         backing = np.concatenate([a[3] for a in answers])
         p_seen = np.zeros(len(total))
         p_seen[backing] = np.concatenate([a[2] for a in answers])
-        by_count = np.concatenate([a[4] for a in answers], 1).T
+        by_count = np.concatenate([a[4] for a in answers])
         of = np.zeros((len(v), 2 + K))
         of[:, 0], of[:, 1], of[:, 2:] = total[context], p_seen[context], by_count[context]
         if len(names):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rate, materialize, sampled
+from .common import bounded_rate, materialize, sampled, worker
 from .vectors import BLOCK, arrays, best, final, query_blocks, usable
 
 ROWS = 8192
@@ -117,7 +117,7 @@ def build_index(embeddings: DataFrame, sample: int = 20_000, eta: float = 4.0) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], [*batch.schema.names, "codes"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    return materialize(rows.mapInArrow(code, f"vec_id long, embedding {kind}, codes binary"), "ann-index"), books
+    return materialize(rows.mapInArrow(worker(code), f"vec_id long, embedding {kind}, codes binary"), "ann-index"), books
 
 
 def _scan(ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, queries: tuple[np.ndarray, np.ndarray], books: Codebooks, k: int, rerank: int) -> list[np.ndarray]:
@@ -174,5 +174,5 @@ def search(index: DataFrame, books: Codebooks | None, k: int = 20, every: int =
                     kept = [x[take] for x in kept]
             yield pa.RecordBatch.from_arrays([pa.array(queries[0][kept[0]]), pa.array(kept[2]), pa.array(kept[1])], ["query_id", "vec_id", "score"])
 
-        out = out.unionByName(index.select("vec_id", "embedding", "codes").mapInArrow(scan, PART))
+        out = out.unionByName(index.select("vec_id", "embedding", "codes").mapInArrow(worker(scan), PART))
     return final(out, k)

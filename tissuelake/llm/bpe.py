@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import worker
+
 LONG = 1024
 NONE = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE = range(4)
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 
 
 def default_ranks() -> str:
@@ -108,7 +110,7 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes and decodes by a rank file (a line: base64 of the token's bytes, its rank)."""
 
-    def __init__(self, ranks_path: str, max_cache: int = 500_000):
+    def __init__(self, ranks_path: str, max_cache: int = 350_000):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.ranks, self.max_cache = ranks, max_cache
@@ -343,7 +345,7 @@ def encoder(ranks_path: str) -> Encoder:
     return Encoder(ranks_path)
 
 
-def text_slices(batch: pa.RecordBatch, text_col: str, chars: int = 4 * PART_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def text_slices(batch: pa.RecordBatch, text_col: str, chars: int = PART_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """The batch in slices of about ``chars`` characters."""
     texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
     i = 0
@@ -370,7 +372,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks_pa
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(worker(run), T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", ranks_path: str | None = None) -> DataFrame:
@@ -386,7 +388,7 @@ def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", rank
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
+    return df.mapInArrow(worker(run), T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def token_report(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -405,4 +407,4 @@ def token_report(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
                     plain.append(hashlib.sha256(enc.decode(ids[a:b])).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(hashed, pa.string()), pa.array(plain, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(worker(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +53,24 @@ def sampled(id_col: str, rate: Column | float) -> Column:
     """Deterministic sampling predicate on the row's id."""
     unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return unit < rate
+
+
+def trim() -> None:
+    """Give memory that is no longer used back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def worker(run: Callable) -> Callable:
+    """``run`` for mapInArrow, trimming the worker's memory when its task ends."""
+
+    def trimmed(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _point_values, _powers, gather, mix64, text_slices
-from .common import materialize
+from .common import materialize, worker
 from .components import components
 
 WORDS = 5
@@ -103,7 +103,7 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, "text", 1 << 20):
+            for part, texts in text_slices(batch, "text"):
                 texts = [normalised(t) for t in texts]
                 hashes, counts = shingles(texts)
                 sig = np.zeros((len(texts), HASHES), np.uint16)
@@ -112,7 +112,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 rid = pa.array([hashlib.md5(t.encode()).digest() if t else None for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), rid, bands], ["doc_id", "rid", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, rid binary, sig array<long>")
+    return docs.select("doc_id", "text").mapInArrow(worker(run), "doc_id long, rid binary, sig array<long>")
 
 
 GROUP = ["band", "v", "i", "j"]
@@ -181,7 +181,7 @@ def _compared(members: DataFrame, threshold: float, tolerance: float) -> DataFra
             columns = [taken[c].combine_chunks() for c in taken.column_names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array((rows - first[rows]).astype(np.int32)), partners], [*GROUP, "rid", "size", "place", "partners"])
 
-    return members.mapInArrow(run, "band int, v long, i long, j long, rid binary, size long, place int, partners array<int>")
+    return members.mapInArrow(worker(run), "band int, v long, i long, j long, rid binary, size long, place int, partners array<int>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = held.value
         for batch in batches:
-            for part, texts in text_slices(batch, "text", 1 << 20):
+            for part, texts in text_slices(batch, "text"):
                 hits, names, kept = [], [], []
                 for k, t in enumerate(map(normalised, texts)):
                     rid = hashlib.md5(t.encode()).digest()
@@ -212,7 +212,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hits, pa.int64())), pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["low", "rid", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "low long, rid binary, set binary").join(wanted, ["low", "rid"], "left_semi").dropDuplicates(["low", "rid"]).select("rid", "set")
+    return docs.select("doc_id", "text").mapInArrow(worker(run), "low long, rid binary, set binary").join(wanted, ["low", "rid"], "left_semi").dropDuplicates(["low", "rid"]).select("rid", "set")
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
@@ -260,7 +260,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                     out[2].append(names[a + find(k)])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["rid", "links", "parent"])
 
-    return rows.mapInArrow(run, "rid binary, links long, parent binary")
+    return rows.mapInArrow(worker(run), "rid binary, links long, parent binary")
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:

@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _point_values, _powers, gather, mix64
-from .common import held_out, materialize
+from .common import held_out, materialize, worker
 
 K = 5
 END, BOS = np.uint64(0x1D), np.uint64(0x2E)
 MOST_HEAVY = 1 << 17
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -161,7 +161,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int, emit) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "key long, other long, kind int, data binary")
+    return docs.mapInArrow(worker(run), "key long, other long, kind int, data binary")
 
 
 def _by_key(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
@@ -179,7 +179,7 @@ def _by_key(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
         if key is not None:
             yield from work(key, held)
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "kind", "other").mapInArrow(run, schema)
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "kind", "other").mapInArrow(worker(run), schema)
 
 
 def _cut(order: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_rate, held_out, sampled
+from .common import bounded_rate, held_out, sampled, worker
 
 UNKNOWN = "und"
 
@@ -68,7 +68,7 @@ def fit_profiles(train: DataFrame, per_lang: int = 2000, size: int = 400) -> dic
                 n = np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
-    counts = rows.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(worker(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= size)
     out: dict[str, list[int]] = {}
     for r in best.orderBy("lang", "rank").collect():  # size rows a language
@@ -108,7 +108,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400, te
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(worker(run), schema)
 
 
 def language_report(docs: DataFrame, per_lang: int = 2000, size: int = 400) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import default_ranks, encoder, text_slices
+from .common import worker
 
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -143,4 +144,4 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, window: int = 4_000_00
                     yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(worker(run), schema)

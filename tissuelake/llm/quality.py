@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _point_values, _powers, mix64, text_slices
-from .common import bounded_rate, held_out, sampled
+from .common import bounded_rate, held_out, sampled, worker
 
 PASSAGE = 512
 PAIRS = 64
@@ -157,7 +157,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_pa
                     made.append(x[take].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(made, pa.binary())], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(features, f"doc_id long, quality {labels.schema['quality'].dataType.simpleString()}, x binary").collect()
+    got = rows.mapInArrow(worker(features), f"doc_id long, quality {labels.schema['quality'].dataType.simpleString()}, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     bags = [np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, WIDTH) for r in got]
     y = np.array([r["quality"] for r in got], np.float64)
@@ -170,10 +170,10 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, text_col, 1 << 20):
+            for part, texts in text_slices(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], [*part.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker
 from .vectors import BLOCK, arrays, best, final, query_blocks, usable
 
 BITS = 8
@@ -78,7 +79,7 @@ def _kth(rows: DataFrame, queries: tuple[np.ndarray, np.ndarray], k: int, reach:
             q, digit = np.nonzero((tally > 0) & (above < need[:, None]))
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(digit), pa.array(tally[q, digit])], ["q", "digit", "n"])
 
-        got = rows.mapInArrow(count, "q long, digit long, n long").groupBy("q", "digit").agg(F.sum("n").alias("n")).toArrow()  # 256 rows a query at most
+        got = rows.mapInArrow(worker(count), "q long, digit long, n long").groupBy("q", "digit").agg(F.sum("n").alias("n")).toArrow()  # 256 rows a query at most
         tally = np.zeros((n, 1 << BITS), np.int64)
         tally[got["q"].to_numpy(), got["digit"].to_numpy()] = got["n"].to_numpy()
         above = tally[:, ::-1].cumsum(1)[:, ::-1] - tally
@@ -122,5 +123,5 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
             take = np.sort(np.concatenate([np.flatnonzero(above), ties]))
             yield pa.RecordBatch.from_arrays([pa.array(queries[0][q[take]]), pa.array(ids[take]), pa.array(score[take])], ["query_id", "vec_id", "score"])
 
-        out = out.unionByName(rows.mapInArrow(select, PART))
+        out = out.unionByName(rows.mapInArrow(worker(select), PART))
     return final(out, k)

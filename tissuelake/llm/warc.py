@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, workspace
+from .common import materialize, worker, workspace
 
 MAGIC = "WARC/1.1\r\n"
 TAIL = "\r\n\r\n"
@@ -165,7 +165,7 @@ def _candidates(chunks: DataFrame, payloads: bool) -> DataFrame:
                 pos += len(value) + len(magic)
         yield from done()
 
-    return chunks.mapInArrow(run, _CANDIDATE)
+    return chunks.mapInArrow(worker(run), _CANDIDATE)
 
 
 def _mark(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -227,7 +227,7 @@ def _rejoin(spark: SparkSession, path: str, base: DataFrame, cut: DataFrame, pay
                 pos += len(value.as_buffer() or b"") + len(magic)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["file", "block", "value", "at"])
 
-    pieces = _chunks(spark, path).mapInArrow(offsets, "file string, block long, value binary, at long").join(base, ["file", "block"]).select("file", (F.col("at") + F.col("base")).alias("at"), "value")
+    pieces = _chunks(spark, path).mapInArrow(worker(offsets), "file string, block long, value binary, at long").join(base, ["file", "block"]).select("file", (F.col("at") + F.col("base")).alias("at"), "value")
     parts = cut.join(pieces, "file").filter(f"at + length(value) >= body_at and at < succ - {len(TAIL)} + {len(MAGIC)}")
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

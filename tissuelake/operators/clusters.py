@@ -57,3 +57,38 @@ def topics(vectors: DataFrame, k: int, keep: list[str], seed: int = 42) -> DataF
 
 def as_vector(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
+
+
+def ward(points: np.ndarray, k: int) -> np.ndarray:
+    """Labels 1..k by agglomeration that adds least to the summed squares; numbered by first member."""
+    size, centre = np.ones(len(points)), points.astype(float).copy()
+    member = np.arange(len(points))
+    alive = list(range(len(points)))
+    while len(alive) > k:
+        c, n = centre[alive], size[alive]
+        cost = ((c[:, None] - c[None]) ** 2).sum(2) * (n[:, None] * n[None]) / (n[:, None] + n[None])
+        cost[np.tril_indices(len(alive))] = np.inf
+        i, j = (alive[v] for v in np.unravel_index(cost.argmin(), cost.shape))
+        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        member[member == j] = i
+        alive.remove(j)
+    return np.searchsorted(np.array(alive), member) + 1
+
+
+def meta_clusters(means: DataFrame, cluster: str, columns: list[str], k: int, cap: float = 3.0) -> DataFrame:
+    """Meta cluster of every cluster, from its z-scored (population deviation), clipped channel means.
+
+    ``means`` has a row a SOM node (a few hundred at most), so it is gathered on the driver.
+    """
+    rows = means.select(cluster, *columns).orderBy(cluster).collect()
+    x = np.array([r[1:] for r in rows], float).reshape(len(rows), len(columns))
+    spread = x.std(0) if len(x) else np.ones(len(columns))
+    z = np.clip((x - x.mean(0)) / np.where(spread > 0, spread, 1), -cap, cap) if len(x) else x
+    kind = means.schema[cluster].dataType.simpleString()
+    return means.sparkSession.createDataFrame([(r[0], int(m)) for r, m in zip(rows, ward(z, k), strict=True)], f"{cluster} {kind}, meta long")
+
+
+def neighborhood_clusters(vectors: DataFrame, k: int, keep: list[str], seed: int = 42) -> DataFrame:
+    """K-means over neighbourhood vectors; ids start at 1."""
+    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors).select(*keep, (F.col("cluster") + 1).alias("cluster"))

@@ -58,3 +58,38 @@ def max_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two masks (fov, y, x, label), each first label's most overlapping second label; ties to the smaller one."""
     both = a.filter("label > 0").withColumnRenamed("label", "a").join(b.filter("label > 0").withColumnRenamed("label", "b"), ["fov", "y", "x"]).groupBy("fov", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     return both.withColumn("r", F.row_number().over(Window.partitionBy("fov", "a").orderBy(F.desc("n"), "b"))).filter("r = 1").drop("r")
+
+
+def ambiguous_names(mapping: DataFrame, name: str, meta: str) -> DataFrame:
+    """Names that stand for more than one meta cluster."""
+    return mapping.groupBy(name).agg(F.countDistinct(meta).alias("n")).filter("n > 1")
+
+
+def combine_first(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """All keys of both sides; the left value where it is not null, else the right one."""
+    r = right.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
+    return left.select(*keys, *columns).join(r, keys, "full").select(*keys, *[F.coalesce(c, f"__{c}").alias(c) for c in columns])
+
+
+def box_stats(cells: DataFrame, column: str, split: str, values: list[str]) -> DataFrame:
+    """Quartiles and extremes of a column for some values of another."""
+    q = lambda p: F.round(F.percentile(column, F.lit(p)), 6)
+    return cells.filter(F.col(split).isin(values)).groupBy(split).agg(F.min(column).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(column).alias("high"))
+
+
+def natural_order(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct names with their place in natural order: text before the last digits, then the number."""
+    head, number = F.regexp_extract(name, r"^(.*?)(\d*)$", 1), F.expr(f"try_cast(regexp_extract({name}, '(\\\\d*)$', 1) as bigint)")
+    return rows.select(name).distinct().withColumn("place", F.row_number().over(Window.orderBy(head, number, name)))  # a row a name
+
+
+def nonzero_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The table without those of ``columns`` that are zero or null in every row."""
+    largest = rows.agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()
+    return rows.drop(*[c for c in columns if not largest[c]])
+
+
+def train_split(cells: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """Flags the first ``fraction`` of every fov's cells in a seeded random order."""
+    order = F.row_number().over(Window.partitionBy("fov").orderBy(F.xxhash64(F.lit(seed), "fov", "label"), "label"))
+    return cells.withColumn("train", order <= F.floor(F.count(F.lit(1)).over(Window.partitionBy("fov")) * fraction))

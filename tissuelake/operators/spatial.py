@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pairs(cells: DataFrame, radius: int) -> DataFrame:
+def pairs(cells: DataFrame, radius: int, anchors: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Ordered pairs of cells of one fov with 0 < distance < radius: fov, label, cell_type, nb_label, nb_type, d2.
 
+    ``anchors`` keeps pairs at distance 0, so a cell meets itself; ``carry`` adds the neighbour's columns as nb_<name>.
+
     A grid of cells of the radius' size gives the join three equality keys, so a large fov is spread over many tasks
     and a cell meets the nine grid cells around it only.
     """
     grid = lambda c: F.floor(F.col(c) / radius)
     left = cells.withColumns({"gy": F.explode(F.sequence(grid("cy") - 1, grid("cy") + 1))}).withColumn("gx", F.explode(F.sequence(grid("cx") - 1, grid("cx") + 1)))
-    right = cells.select("fov", F.col("label").alias("nb_label"), F.col("cell_type").alias("nb_type"), F.col("cy").alias("ny"), F.col("cx").alias("nx"), grid("cy").alias("gy"), grid("cx").alias("gx"))
+    right = cells.select("fov", F.col("label").alias("nb_label"), F.col("cell_type").alias("nb_type"), F.col("cy").alias("ny"), F.col("cx").alias("nx"), grid("cy").alias("gy"), grid("cx").alias("gx"), *[F.col(c).alias(f"nb_{c}") for c in carry])
     d2 = (F.col("cy") - F.col("ny")) * (F.col("cy") - F.col("ny")) + (F.col("cx") - F.col("nx")) * (F.col("cx") - F.col("nx"))
-    return left.join(right, ["fov", "gy", "gx"]).withColumn("d2", d2).filter((F.col("d2") > 0) & (F.col("d2") < radius * radius)).select("fov", "label", "cell_type", "nb_label", "nb_type", "d2")
+    return left.join(right, ["fov", "gy", "gx"]).withColumn("d2", d2).filter(((F.col("d2") > 0) | F.lit(anchors)) & (F.col("d2") < radius * radius)).select("fov", "label", "cell_type", "nb_label", "nb_type", "d2", *[f"nb_{c}" for c in carry])
 
 
 def neighborhood_counts(cells: DataFrame, radius: int) -> DataFrame:
@@ -104,3 +106,27 @@ def tile_stats(fibers: DataFrame, side: int, tile: int, least: int) -> DataFrame
     made = fibers.groupBy("fov", at("cy").alias("ty"), at("cx").alias("tx")).agg(F.count(F.lit(1)).alias("n"), F.avg("area").alias("a"), F.avg("major").alias("m"))
     enough = lambda c: F.round(F.when(F.col("n") >= least, F.col(c)), 6)
     return grid.join(made, ["fov", "ty", "tx"], "left").select("fov", "ty", "tx", F.coalesce("n", F.lit(0)).alias("n"), enough("a").alias("avg_area"), enough("m").alias("avg_major"))
+
+
+def featurize(cells: DataFrame, radius: int, kind: str, names: list[str] = ()) -> DataFrame:
+    """Topic-model features of each cell's neighbourhood, itself included.
+
+    ``cluster``: cells of each type in ``names``; ``marker``: cells whose marker exceeds 0.5; ``avg_marker``: the
+    marker's mean; ``count``: cells.
+    """
+    features = {
+        "cluster": lambda: [F.count_if(F.col("nb_type") == n).alias(n) for n in names],
+        "marker": lambda: [F.count_if(F.col(f"nb_{n}") > 0.5).alias(n) for n in names],
+        "avg_marker": lambda: [F.round(F.avg(f"nb_{n}"), 6).alias(n) for n in names],
+        "count": lambda: [F.count(F.lit(1)).alias("n")],
+    }
+    if kind not in features:
+        raise ValueError(f"unknown featurization: {kind}")
+    met = pairs(cells, radius, anchors=True, carry=tuple(names) if "marker" in kind else ())
+    return met.groupBy("fov", "label").agg(*features[kind]())
+
+
+def mean_knn_from_pairs(distances: DataFrame, k: int) -> DataFrame:
+    """``mean_knn_distance`` over a given table (fov, label, nb_label, nb_type, distance), which need not be symmetric."""
+    near = distances.filter("distance > 0").withColumn("r", F.row_number().over(Window.partitionBy("fov", "label", "nb_type").orderBy("distance", "nb_label"))).filter(F.col("r") <= k)
+    return near.groupBy("fov", "label", "nb_type").agg(F.round(F.when(F.count(F.lit(1)) == k, F.avg("distance")), 6).alias("mean_distance"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import EXTRACTION, MORPHOLOGY
 from ..operators import clusters, labels, pixels, spatial
 from ..sources import tables
+from . import masks
 
 RADIUS = 100
 TYPES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -121,5 +122,5 @@ _ALL: dict = {
     "topics": (lambda s, d: clusters.topics(_neighbour_vectors(s, d), 3, ["fov", "label"]), None),
 }
 
-QUERIES = {k: v[0] for k, v in _ALL.items()}
-ORACLES: dict[str, str] = {k: v[1] for k, v in _ALL.items() if v[1]}
+QUERIES = {k: v[0] for k, v in _ALL.items()} | masks.QUERIES
+ORACLES: dict[str, str] = {k: v[1] for k, v in _ALL.items() if v[1]} | masks.ORACLES

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from tissuelake.operators import clusters, images, labels, masks
+from tissuelake.operators import cells, clusters, images, labels, masks
 
 
 def flood(mask, corners):
@@ -90,3 +90,48 @@ def test_natural_order_takes_any_name(spark):
     names = spark.createDataFrame([("fov10",), ("fov2",), ("a",), ("fov99999999999999999999",)], "name string")
     assert [r.name for r in labels.natural_order(names, "name").orderBy("place").collect()][0] == "a"
     assert labels.natural_order(names.limit(0), "name").count() == 0
+
+
+def test_hull_of_simple_shapes():
+    square = np.ones((5, 7), bool)
+    assert (cells.hull_image(square) == square).all() and cells.hull_image(np.ones((1, 1), bool)).all()
+    ell = square.copy()
+    ell[:3, 3:] = False
+    hull = cells.hull_image(ell)
+    assert (hull | ell == hull).all() and hull[3, 5] and not hull[0, 6]
+    cup = np.ones((20, 20), bool)
+    cup[:15, 5:15] = False
+    assert cells.hull_image(cup).all()
+    assert cells.concavities(~cup, 10, 60, 150) == 1 and cells.concavities(~cup, 10, 1, 150) == 0
+
+
+def test_perimeter_of_a_square():
+    assert cells.perimeter(np.ones((5, 5), bool)) == pytest.approx(16)
+    assert cells.perimeter(np.ones((1, 1), bool)) == 0
+
+
+def test_hull_features_of_masks(spark):
+    mask = spark.createDataFrame([(0, y, x, 1) for y in range(4) for x in range(4)] + [(0, 9, 9, 0)], "fov long, y long, x long, label long")
+    got = cells.hull_features(mask).collect()
+    assert [(r.label, r.convex_area, r.convex_hull_resid, r.centroid_dif, r.num_concavities) for r in got] == [(1, 16, 0.0, 0.0, 0)]
+    assert cells.hull_features(mask.filter("label = 0")).count() == 0
+
+
+def test_spanning_tree_weight(spark):
+    rng = np.random.default_rng(3)
+    at = rng.integers(0, 50, (40, 2)).tolist()
+    table = spark.createDataFrame([(0, i + 1, y, x) for i, (y, x) in enumerate(at)] + [(1, 7, 0, 0)], "fov long, label long, cy long, cx long")
+    got = cells.spanning_tree(table).collect()
+    parent = list(range(40))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    weight = 0
+    for d, i, j in sorted(((at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2, i, j) for i in range(40) for j in range(i)):
+        if root(i) != root(j):
+            parent[root(i)] = root(j)
+            weight += d
+    assert len(got) == 39 and sum(r.d2 for r in got) == weight and {r.fov for r in got} == {0}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clusters, images, labels, masks, pixels, spatial
+from ..operators import cells, clusters, images, labels, masks, pixels, spatial
 from ..sources import tables
 
 RADIUS = 100
@@ -38,6 +38,10 @@ def _mask(s: SparkSession, second: bool = False) -> DataFrame:
     return _grid(s, 2, 64).withColumn("label", F.expr(name))
 
 
+def _notched(s: SparkSession) -> DataFrame:
+    return _mask(s).filter("y * x % 11 <> 0")
+
+
 def _images(s: SparkSession) -> DataFrame:
     at = _grid(s, 4, SIDE).withColumn("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return at.withColumn("value", F.expr("cast(greatest((y * 7 + x * 13 + fov * 5) * (y + channel + 1) % 23 - 11, 0) as double)")).select("fov", "channel", "y", "x", "value")
@@ -53,8 +57,8 @@ def _sparse(s: SparkSession) -> DataFrame:
 
 def _types(s: SparkSession, d: str) -> DataFrame:
     """A cell table for the first mask: labels of one fov, some missing, some without a type."""
-    cells = _mask(s).filter("label > 0 and label % 7 <> 0").select("fov", "label").distinct()
-    return cells.withColumn("cell_type", F.expr("CASE label % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'B' WHEN 2 THEN 'M' END"))
+    some = _mask(s).filter("label > 0 and label % 7 <> 0").select("fov", "label").distinct()
+    return some.withColumn("cell_type", F.expr("CASE label % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'B' WHEN 2 THEN 'M' END"))
 
 
 TYPED = f"{MASKS}, typed AS (SELECT DISTINCT fov, label, CASE label % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'B' WHEN 2 THEN 'M' END cell_type FROM ma WHERE label > 0 AND label % 7 <> 0)"
@@ -78,8 +82,7 @@ def _names(s: SparkSession, d: str) -> DataFrame:
 
 
 def _half(s: SparkSession, d: str, odd: bool) -> DataFrame:
-    cells = tables.cells(s, d)
-    return cells.filter("label % 3 <> 0" if odd else "label % 2 = 0").select("fov", "label", F.expr("CASE WHEN label % 5 <> 0 THEN cy END" if odd else "cx").alias("v"))
+    return tables.cells(s, d).filter("label % 3 <> 0" if odd else "label % 2 = 0").select("fov", "label", F.expr("CASE WHEN label % 5 <> 0 THEN cy END" if odd else "cx").alias("v"))
 
 
 def _renames(s: SparkSession, d: str) -> DataFrame:
@@ -133,6 +136,33 @@ _ALL: dict = {
     "natural_order": (lambda s, d: labels.natural_order(_names(s, d), "name"), f"WITH {CELLS} SELECT 'fov' || fov AS name, CAST(row_number() OVER (ORDER BY fov) AS INT) AS place FROM (SELECT DISTINCT fov FROM cells)"),
     "nonzero_columns": (_flat, f"WITH {CELLS} SELECT fov, label, cell_type, cy, cx FROM cells"),
     "train_split": (lambda s, d: labels.train_split(tables.cells(s, d), 0.75).groupBy("fov").agg(F.count_if("train").alias("train")), f"WITH {CELLS} SELECT fov, CAST(floor(count(*) * 0.75) AS BIGINT) AS train FROM cells GROUP BY fov"),
+    "cell_axes": (
+        lambda s, d: cells.axes(_notched(s)),
+        f"""WITH {MASKS}, m AS (SELECT fov, label, count(*) area, var_pop(y) vy, var_pop(x) vx, covar_pop(y, x) c FROM ma WHERE label > 0 AND y * x % 11 <> 0 GROUP BY fov, label),
+        e AS (SELECT *, 4 * sqrt((vy + vx + sqrt(4 * c * c + (vy - vx) * (vy - vx))) / 2) a, 4 * sqrt(greatest((vy + vx - sqrt(4 * c * c + (vy - vx) * (vy - vx))) / 2, 0)) b, sqrt(4 * area / pi()) d FROM m)
+        SELECT fov, label, area, round(a, 6) major_axis_length, round(b, 6) minor_axis_length, round(d, 6) equivalent_diameter, CASE WHEN a > 0 THEN round(sqrt(1 - b * b / (a * a)), 6) END eccentricity, CASE WHEN b > 1e-9 THEN round(a / b, 6) END major_minor_axis_ratio, round(a / d, 6) major_axis_equiv_diam_ratio FROM e""",
+    ),
+    "hull_features": (lambda s, d: cells.hull_features(_notched(s)), None),
+    "center_weighting": (
+        lambda s, d: cells.center_weighting(_mask(s).withColumn("v", F.expr("cast(y * x % 13 as double)")), "v"),
+        f"WITH {MASKS}, c AS (SELECT fov, label, avg(y) cy, avg(x) cx FROM ma WHERE label > 0 GROUP BY fov, label), d AS (SELECT ma.fov, ma.label, y * x % 13 v, greatest(abs(y - cy), abs(x - cx)) d FROM ma JOIN c ON ma.fov = c.fov AND ma.label = c.label), m AS (SELECT fov, label, max(d) m FROM d GROUP BY fov, label) SELECT d.fov, d.label, round(sum(v * (1 - d / (m + 1))), 6) v FROM d JOIN m ON d.fov = m.fov AND d.label = m.label GROUP BY d.fov, d.label",
+    ),
+    "nc_ratio": (
+        lambda s, d: cells.nc_ratio(_mask(s), _mask(s, True)),
+        f"WITH {MASKS}, n AS (SELECT a.fov, a.label a, b.label b, count(*) n FROM ma a JOIN mb b ON a.fov = b.fov AND a.y = b.y AND a.x = b.x WHERE a.label > 0 AND b.label > 0 GROUP BY ALL), o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY fov, a ORDER BY n DESC, b) = 1), sa AS (SELECT fov, label, count(*) z FROM ma WHERE label > 0 GROUP BY ALL), sb AS (SELECT fov, label, count(*) z FROM mb GROUP BY ALL) SELECT sa.fov, sa.label, round(coalesce(sb.z / sa.z, 0), 6) nc_ratio FROM sa LEFT JOIN o ON sa.fov = o.fov AND sa.label = o.a LEFT JOIN sb ON o.fov = sb.fov AND o.b = sb.label",
+    ),
+    "split_large_nuclei": (
+        lambda s, d: cells.split_large_nuclei(_mask(s), _mask(s, True), 6, 5),
+        f"""WITH {MASKS}, n AS (SELECT a.fov, a.label a, b.label b, count(*) n FROM ma a JOIN mb b ON a.fov = b.fov AND a.y = b.y AND a.x = b.x WHERE a.label > 0 AND b.label > 0 GROUP BY ALL),
+        o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY fov, a ORDER BY n DESC, b) = 1), z AS (SELECT fov, label, count(*) z FROM mb GROUP BY ALL), t AS (SELECT fov, max(label) t FROM mb GROUP BY fov),
+        w AS (SELECT o.fov, a, b, t + row_number() OVER (PARTITION BY o.fov ORDER BY a) new FROM o JOIN z ON o.fov = z.fov AND o.b = z.label JOIN t ON o.fov = t.fov WHERE z - n > 6),
+        r AS (SELECT mb.fov, mb.y, mb.x, coalesce(new, mb.label) l FROM mb JOIN ma ON ma.fov = mb.fov AND ma.y = mb.y AND ma.x = mb.x LEFT JOIN w ON w.fov = mb.fov AND w.a = ma.label AND w.b = mb.label)
+        SELECT fov, y, x, CASE WHEN count(*) OVER (PARTITION BY fov, l) < 5 THEN 0 ELSE l END AS label FROM r""",
+    ),
+    "fov_cell_stats": (lambda s, d: cells.fov_cell_stats(pixels.cell_table(tables.pixels(s, d), ["q"]), 1 << 20), "WITH t AS (SELECT c_nationkey fov, o_custkey, count(*) n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT CAST(fov AS BIGINT) fov, round(avg(n), 6) avg_size, round(sum(n) / 1048576.0::DOUBLE, 6) density, count(*) n FROM t GROUP BY fov"),
+    "pseudo_cells": (lambda s, d: cells.distance_features(tables.cells(s, d), ["cy", "cx"])[0], f"WITH {CELLS} SELECT fov, label, cell_type FROM cells UNION ALL SELECT fov, max(label) + 1, 'cy' FROM cells GROUP BY fov UNION ALL SELECT fov, max(label) + 2, 'cx' FROM cells GROUP BY fov"),
+    "pseudo_distances": (lambda s, d: cells.distance_features(tables.cells(s, d), ["cy", "cx"])[1], f"WITH {CELLS}, t AS (SELECT fov, max(label) t FROM cells GROUP BY fov), p AS (SELECT c.fov, label, t + 1 nb_label, cy distance FROM cells c JOIN t ON c.fov = t.fov UNION ALL SELECT c.fov, label, t + 2, cx FROM cells c JOIN t ON c.fov = t.fov) SELECT * FROM p UNION ALL SELECT fov, nb_label, label, distance FROM p"),
+    "spanning_tree": (lambda s, d: cells.spanning_tree(tables.cells(s, d)), None),
     "meta_clusters": (lambda s, d: clusters.meta_clusters(_means(s, d), "cluster", ["q", "p", "d", "t"], 3), None),
     "neighborhood_clusters": (lambda s, d: clusters.neighborhood_clusters(_vectors(s, d), 4, ["fov", "label"]), None),
 }

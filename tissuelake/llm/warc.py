@@ -20,11 +20,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from .common import materialize, worker, workspace
 
 MAGIC = "WARC/1.1\r\n"
 TAIL = "\r\n\r\n"
+#: zstd level of page bodies while they are shuffled.
+LEVEL = 9
 WHEN = "2024-01-01T00:00:00Z"
 
 
@@ -41,13 +44,28 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _recode(rows: DataFrame, change: Callable[[bytes], bytes]) -> DataFrame:
+    """``rows`` with every body, never null, put through ``change``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            made = pa.array([change(v.as_py()) for v in batch.column("body")], pa.binary())
+            yield pa.RecordBatch.from_arrays([made if n == "body" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
+
+    return rows.mapInArrow(worker(run), rows.schema)
+
+
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write one record per row of ``pages`` (page_id, url, html) below ``path``."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A").alias("url"), body.alias("body"))
     rows = rows.withColumns({"bytes": F.octet_length("body"), "digest": sha1_base32(F.col("body").cast("binary"))})
     keep = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept is not null").drop("n")
-    rows = rows.join(keep, ["digest", "bytes"], "left").withColumn("revisit", F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")))
+    packed = _recode(rows.withColumn("body", F.col("body").cast("binary")), lambda v: zstandard.compress(v, LEVEL))  # bodies cross the join compressed
+    joined = _recode(packed.join(keep, ["digest", "bytes"], "left"), zstandard.decompress)
+    rows = joined.withColumn("body", F.col("body").cast("string")).withColumn("revisit", F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit("\r\n\r\n"))
     record = F.concat(

@@ -276,6 +276,22 @@ def test_katz(spark, heavy):
     assert katz.lm_report(docs(spark, [])).count() == 0
 
 
+def test_katz_discounts_where_raw_counts_fail():
+    for n in ([0, 215810, 61309, 26017, 14862, 13741, 7222], [0, 1000, 300, 0, 100, 90, 0], [0, 0, 50, 0, 9, 0, 4]):
+        seen = [r for r in range(1, katz.K + 2) if n[r]]
+        around = [0, *seen, 2 * seen[-1] - ([0, *seen][-2])]
+        z = [n[r] / (0.5 * (after - before)) for before, r, after in zip(around, seen, around[2:], strict=False)]
+        b, a = np.polyfit(np.log(seen), np.log(z), 1)
+        line = lambda r: math.exp(a + b * math.log(r))
+        star = lambda r: (r + 1) * line(r + 1) / line(r)
+        out = (katz.K + 1) * line(katz.K + 1) / line(1)
+        want = [(star(r) / r - out) / (1 - out) for r in range(1, katz.K + 1)]
+        assert katz.discounts(np.array(n))[1:-1] == pytest.approx(want, rel=1e-9)
+        assert all(0 < d < 1 for d in want) and sorted(want) == want
+    assert katz.discounts(np.array([0, 1000, 250, 100, 52, 31, 20]))[1:-1] == pytest.approx([(x - 0.12) / 0.88 for x in (0.5, 0.6, 0.52 * 4 / 3, 0.31 * 5 / 2.08, 6 * 20 / (5 * 31))])
+    assert katz.discounts(np.array([0, 5, 9, 9, 9, 9, 9]))[2:].tolist() == [1.0] * katz.K and katz.discounts(np.zeros(7, int)).tolist() == [1.0] * 7
+
+
 # -- classifiers
 
 

@@ -7,7 +7,9 @@ probability (unigrams) or goes to the words not seen after a context, in proport
     P(w | v) = d(c) c / C(v)  where c = count(v w) > 0,   else  b(v) P(w),   b(v) = (1 - sum of seen) / (1 - sum of P(seen))
 
 A context of which no count is discounted gives up one count's share, so b(v) is never zero. If the counts of counts
-allow no Good-Turing discount (between 0 and 1 for every count), absolute discounting of singletons takes its place.
+as they stand put a discount outside (0, 1), as groups of copies do, all are taken from counts of counts smoothed by a
+log-linear fit. Only where that line falls no faster than 1 / r, or fewer than two of the counts 1..K+1 occur, does
+absolute discounting of singletons take its place.
 
 Work is shared by chunks (about ``chunk_bytes`` of text) and buckets (parts of the n-gram tables). A chunk sends every
 bucket its distinct n-grams with their counts, packed in one blob; the bucket adds up, stores its part of the model,
@@ -94,15 +96,42 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(data)), words + 1)
 
 
+def turing(n: np.ndarray) -> np.ndarray | None:
+    """Katz's d(1..K) from the counts of counts as they stand, if each is between 0 and 1."""
+    if not ((n[1 : K + 2] > 0).all() and n[1] > (K + 1) * n[K + 1]):
+        return None
+    r = np.arange(1, K + 1)
+    out = (K + 1) * n[K + 1] / n[1]
+    d = ((r + 1) * n[2 : K + 2] / (r * n[1 : K + 1]) - out) / (1 - out)
+    return d if ((d > 0) & (d < 1)).all() else None
+
+
+def smoothed_turing(n: np.ndarray) -> np.ndarray | None:
+    """Katz's d(1..K) from counts of counts on the line log n(r) = a + b log r (Simple Good-Turing).
+
+    The line is fitted through the counts that occur, each spread over the gaps beside it. On it (r + 1) n(r + 1) / (r n(r))
+    is (1 + 1 / r) ** (b + 1), so every d is between 0 and 1 whenever b < -1; flatter lines give none.
+    """
+    r = np.flatnonzero(n[1 : K + 2] > 0) + 1
+    if len(r) < 2:
+        return None
+    before = np.append(0, r[:-1])
+    z = 2 * n[r] / (np.append(r[1:], 2 * r[-1] - before[-1]) - before)
+    x, y = np.log(r), np.log(z)
+    e = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()) + 1
+    if e > -1e-6:
+        return None
+    out = np.expm1(e * np.log(K + 1))
+    return (np.expm1(e * np.log1p(1 / np.arange(1, K + 1))) - out) / -out
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """d(0..K+1) from counts of counts n[0..K+1]; the last entry stands for all larger counts."""
     d = np.ones(K + 2)
-    if n[1] > 0 and n[1] > (K + 1) * n[K + 1] and (n[1 : K + 1] > 0).all():
-        r = np.arange(1, K + 1)
-        out = (K + 1) * n[K + 1] / n[1]
-        gt = ((r + 1) * n[2 : K + 2] / (r * n[1 : K + 1]) - out) / (1 - out)
-        if ((gt > 0) & (gt < 1)).all():
-            d[1 : K + 1] = gt
+    for estimate in (turing, smoothed_turing):
+        found = estimate(n)
+        if found is not None:
+            d[1 : K + 1] = found
             return d
     if n[1] > 0:
         d[1] = 1 - min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2])))

@@ -334,3 +334,19 @@ def test_pipeline_stages(spark):
     assert c.language(spark, df, SF).columns == df.columns
     out = c.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and set(out.doc_id) < {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+
+
+def test_pipeline_language_cut(spark):
+    import corpus_pipeline as c
+
+    random.seed(4)
+    df = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null and lang is not null")
+    foreign = [
+        "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+        " ".join("".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randint(2, 9))) for _ in range(300)),
+        " ".join("".join(random.choice("asdfjkl") for _ in range(random.randint(2, 9))) for _ in range(300)),
+    ]
+    bad = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(foreign)], df.schema)
+    clean = {r.doc_id for r in df.select("doc_id").collect()}
+    assert {r.doc_id for r in c.language(spark, df.unionByName(bad), SF).select("doc_id").collect()} == clean

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tissuelake.llm.common import held_out, materialize
-from tissuelake.llm.jaccard import jaccard_classes
+from tissuelake.llm.jaccard import jaccard_groups, named
 from tissuelake.llm.langid import UNKNOWN, fit_profiles
 from tissuelake.llm.langid import predict as predict_language
 from tissuelake.llm.packing import pack_documents
@@ -41,11 +41,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of documents linked at Jaccard similarity 0.8, once; rows without id all stay."""
-    classes = jaccard_classes(docs)
-    keep = classes.filter("doc_id = class_id").select("doc_id").distinct()
+    """Keeps the least id of each group of documents linked at Jaccard similarity 0.8, once; of a group without ids, one row.
+
+    Rows without words are linked to nothing: of these, all without id stay.
+    """
+    rows, texts = jaccard_groups(docs)
+    texts = materialize(texts, "pipeline-groups")
+    keep = rows.join(texts, "rid", "left").filter("doc_id = coalesce(class_id, doc_id)").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    nameless = named(docs.filter("doc_id is null"))
+    first = texts.filter("class_id is null").groupBy("root").agg(F.min("rid").alias("rid")).select("rid")
+    one = nameless.filter("rid is not null").dropDuplicates(["rid"]).join(first, "rid", "left_semi")
+    return kept.unionByName(nameless.filter("rid is null").unionByName(one).drop("rid")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

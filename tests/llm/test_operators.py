@@ -222,6 +222,19 @@ def test_jaccard_edges(spark):
     assert jaccard.jaccard_classes(docs(spark, [])).count() == 0
 
 
+def test_jaccard_links_rows_without_ids(spark):
+    import corpus_pipeline as c
+
+    near = " ".join(f"w{i}" for i in range(60))
+    lone = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, near + " x"), *[(None, near + " y")] * 3, *[(None, lone + " x")] * 3, *[(None, lone + " y")] * 2, (None, None), (None, "")]
+    got = sorted(map(tuple, jaccard.jaccard_classes(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(7, 7, 3), *[(None, 7, 3)] * 3, *[(None, None, 4)] * 5, (None, None, 0), (None, None, 0)], key=str)
+    kept = [tuple(r) for r in c.near_duplicates(spark, docs(spark, rows), SF).collect()]
+    assert len(kept) == 4 and {(7, near + " x"), (None, None), (None, "")} < set(kept)
+    assert sum((t or "").startswith(lone) for _, t in kept) == 1
+
+
 # -- language model
 
 

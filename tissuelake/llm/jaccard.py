@@ -13,8 +13,8 @@ one, so no group comes together in one task. Pairs never become rows: tasks retu
 linked to and one edge of a spanning forest of its links.
 
 A true pair at similarity 0.8 shares no band with probability 3e-6. Documents without words (null or blank) have no
-link and are their own class. Repeated rows count as copies; a text whose rows all have null ids links to nothing.
-Other columns are ignored.
+link and are their own class. Repeated rows count as copies. Rows with null ids are compared and counted like all
+others; only the class of a group that has no id at all is null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import _point_values, _powers, gather, mix64, text_slices
 from .common import materialize, worker
@@ -184,8 +185,20 @@ def _compared(members: DataFrame, threshold: float, tolerance: float) -> DataFra
     return members.mapInArrow(worker(run), "band int, v long, i long, j long, rid binary, size long, place int, partners array<int>")
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` with rid, the name of the row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                rid = [hashlib.md5(t.encode()).digest() if t else None for t in map(normalised, texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rid, pa.binary())], [*part.schema.names, "rid"])
+
+    return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, T.StructField("rid", T.BinaryType())]))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sorted shingle sets (rid, set) of the texts in ``wanted`` (rid, low: the id of a document that has the text).
+    """Sorted shingle sets (rid, set) of the texts in ``wanted`` (rid, low: the id of a document that has the text, or null).
 
     A bitmap over the first bits of rid (2 MB at any size) spares most other texts the work; the join is exact.
     """
@@ -196,14 +209,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
+        bitmap, nameless = held.value, set()
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                hits, names, kept = [], [], []
+                hits, names, kept, no_id = [], [], [], part.column(0).is_null().to_pylist()
                 for k, t in enumerate(map(normalised, texts)):
                     rid = hashlib.md5(t.encode()).digest()
                     w = int.from_bytes(rid[: BITMAP_BITS // 8], "big")
                     if t and bitmap[w >> 5] >> (w & 31) & 1:
+                        if no_id[k]:  # once a task: any number of rows may have no id
+                            if rid in nameless:
+                                continue
+                            nameless.add(rid)
                         hits.append(k)
                         names.append(rid)
                         kept.append(t)
@@ -212,7 +229,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hits, pa.int64())), pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["low", "rid", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(worker(run), "low long, rid binary, set binary").join(wanted, ["low", "rid"], "left_semi").dropDuplicates(["low", "rid"]).select("rid", "set")
+    sets, asked = docs.select("doc_id", "text").mapInArrow(worker(run), "low long, rid binary, set binary"), wanted.select(F.col("rid").alias("name"), F.col("low").alias("least"))
+    return sets.join(asked, (F.col("rid") == F.col("name")) & F.col("low").eqNullSafe(F.col("least")), "left_semi").dropDuplicates(["rid"]).select("rid", "set")
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
@@ -263,11 +281,11 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(worker(run), "rid binary, links long, parent binary")
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """doc_id, class_id (least id of the document's connected group), n_links (documents at ``threshold`` or above)."""
+def jaccard_groups(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, rid: the name of the text, null without words), and texts (rid, root, class_id, n_links)."""
     signed = materialize(_signed(docs), "jaccard-signatures")
     texts = materialize(signed.filter("rid is not null").groupBy("rid").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("low"), F.first("sig").alias("sig")), "jaccard-texts")
-    bands = texts.filter("low is not null").select("rid", F.posexplode("sig").alias("band", "v"))
+    bands = texts.select("rid", F.posexplode("sig").alias("band", "v"))
     shared = bands.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / BLOCK)
     members = bands.join(shared, ["band", "v"]).join(texts.select("rid", "size", "sig"), "rid").withColumn("mine", F.pmod(F.xxhash64("rid"), parts))
@@ -281,6 +299,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     roots = components(found.select(F.col("rid").alias("u"), F.col("parent").alias("v")))
     place = texts.select("rid", "size", "low").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = place.groupBy("root").agg(F.min("low").alias("class_id"))
-    info = place.join(least, "root").join(links, "rid", "left").select("rid", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "rid").join(info, "rid", "left")
+    info = place.join(least, "root").join(links, "rid", "left").select("rid", "root", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "rid"), info
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """doc_id, class_id (least id of the document's connected group), n_links (documents at ``threshold`` or above)."""
+    rows, info = jaccard_groups(docs, threshold, tolerance)
+    out = rows.join(info.drop("root"), "rid", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

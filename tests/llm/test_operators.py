@@ -61,6 +61,20 @@ def test_pii_added_kinds_and_redaction(spark):
     assert pii.pii_report(df.limit(0)).count() == 0
 
 
+def test_pii_iban_before_short_words(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68539007547034"]
+    tails = ["", ", x", " BIC x", " AND", " 12 x", " BANK CODE 1", " A", " BIC", " " + ibans[0]]
+    rows = [(i * 100 + j, f"to {v}{t}") for i, v in enumerate(ibans) for j, t in enumerate(tails)]
+    got = {r.doc_id: r.spans for r in pii.pii_report(docs(spark, rows)).collect()}
+    for i, v in enumerate(ibans):
+        for j, t in enumerate(tails):
+            spans = [x for x in got[i * 100 + j].split(",") if x.startswith("iban")]
+            end = 3 + len(v)
+            assert spans == [f"iban:3:{end}", *([f"iban:{end + 1}:{end + 1 + len(ibans[0])}"] if t.endswith(ibans[0]) else [])]
+    red = pii.redact(docs(spark, [(1, "AT61 1904 3002 3457 3201 AND"), (2, "AT61 1904 3002 3457 3202 AND")])).collect()
+    assert {r.text for r in red} == {"[IBAN] AND", "AT61 1904 3002 3457 3202 AND"}
+
+
 # -- byte-level BPE and packing
 
 

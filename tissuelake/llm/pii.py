@@ -22,6 +22,23 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("phone_local", "card_run", "iban")
 KINDS = BASE_KINDS + ADDED_KINDS
 
+#: Countries by the length of their IBAN.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """A listed country's own length, else (other countries and lengths) any length up to 35; blanks between groups of four."""
+    group = r"(?:\x20?[A-Z0-9]{4})"
+    rest = lambda n: rf"{group}{{{n // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    own = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{rest(n - 4)}(?![A-Za-z0-9])" for n, names in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{own}|[A-Z]{{2}}[0-9]{{2}}{group}{{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
+
+
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -29,7 +46,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "phone_local": r"(?<![0-9(+])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "card_run": r"(?<![0-9])[0-9]{16,19}(?![0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban(),
 }
 #: Cheap test that a text can hold the kind at all.
 TRIGGERS = {"email": "@", "phone": "+"}

@@ -338,6 +338,20 @@ def test_quality_accuracy(spark):
     assert [r.score for r in edge] == [0.5] * 3
 
 
+def test_quality_learns_from_every_passage(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, x, counts, y: seen.append((x, counts)) or self)
+    texts = ["a" * (512 * 60) + "!" * 512 + "a" * (512 * 40 + 7), "b", None] + ["c" * 5000] * 97
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality long")
+    quality.fit_quality(docs(spark, list(enumerate(texts))), labels)
+    x, counts = seen[0]
+    want, n = quality.passages(texts)
+    assert sorted(counts) == sorted(n) and sorted(map(bytes, x)) == sorted(map(bytes, want))
+    quality.fit_quality(docs(spark, list(enumerate(texts))), labels, max_passages=500)
+    x, counts = seen[1]
+    assert 0 < len(x) < 800 and set(counts) <= set(n)
+
+
 def test_gradient_of_attention_model():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 5, 300)

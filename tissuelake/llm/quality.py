@@ -5,8 +5,9 @@ word lengths, how many of its words are distinct, and hashed character pairs, th
 attention (a tanh branch times a sigmoid branch) weights the passages; the weighted sum of their codes is scored by a
 logistic unit. All weights are learned together from document labels by gradient descent.
 
-Training takes about ``max_docs`` labelled documents (chosen by a hash of the id) and at most ``max_passages`` evenly
-spaced passages of each; scoring reads every passage of every text. Null texts count as empty: one passage of zeros.
+Training takes about ``max_docs`` labelled documents (chosen by a hash of the id), fewer if they have more than
+``max_passages`` passages together, and every passage of each; scoring reads every passage of every text. Null texts
+count as empty: one passage of zeros.
 Labels other than 0 and 1 teach nothing; of contradicting labels of an id the lowest counts. With no label, or labels of
 one kind only, every score is the share of label 1 (0.5 without any). Repeated rows are scored row by row; other
 columns are ignored.
@@ -141,20 +142,23 @@ class Model:
         return self._forward(x, np.cumsum(counts) - counts, counts, self.weights)["p"]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_passages: int = 24, **options) -> Model:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_passages: int = 200_000, **options) -> Model:
     """Learn from ``labels`` (doc_id, quality) and the texts of ``docs``."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rate = bounded_rate(known.count(), max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known.filter(sampled("doc_id", rate))), "doc_id")  # about max_docs rows of two numbers
+
+    def labelled(rate: float) -> DataFrame:
+        return docs.select("doc_id", "text").join(F.broadcast(known.filter(sampled("doc_id", rate))), "doc_id")  # about max_docs rows of two numbers
+
+    each = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce("text", F.lit(""))) / PASSAGE))
+    rows = labelled(rate * bounded_rate(labelled(rate).agg(F.sum(each)).first()[0] or 0, max_passages))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 x, counts = passages(texts)
-                ends, made = np.cumsum(counts), []
-                for a, b in zip(ends - counts, ends, strict=True):
-                    take = np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).astype(np.int64))
-                    made.append(x[take].tobytes())
+                ends = np.cumsum(counts)
+                made = [x[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(made, pa.binary())], ["doc_id", "quality", "x"])
 
     got = rows.mapInArrow(worker(features), f"doc_id long, quality {labels.schema['quality'].dataType.simpleString()}, x binary").collect()

@@ -7,8 +7,9 @@ changed pairs up in a hash table, merges the leftmost pair of least rank in ever
 the row left, and takes finished rows out. Pieces of more than ``LONG`` bytes, for which rounds over a matrix
 would be quadratic, go through a heap that does the same merges in the same order.
 
-Null texts count as empty and give no ids; repeated rows, null ids and extra columns pass through row by row.
-A piece is recognised within a batch by a 64-bit hash of random values per code point.
+Null texts count as empty and give no ids; repeated rows, null ids and extra columns pass through row by row; a column
+that is called like the one made is replaced. Hashes only group a batch's pieces: that the pieces of a group are equal
+is compared code point by code point, and known pieces are looked up by their text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import worker
+from .common import without, worker
 
 LONG = 1024
 NONE = np.int32(2**31 - 1)
@@ -149,7 +151,7 @@ class Encoder:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
@@ -250,8 +252,8 @@ class Encoder:
             flat[at[i] : at[i] + len(ids)] = ids
         return flat, count
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
-        flat, count = self.encode_pieces(pieces)
+    def _learn(self, pieces: list[str]) -> None:
+        flat, count = self.encode_pieces([p.encode() for p in pieces])
         n, base = len(self.known), self.used
         while n + len(pieces) > len(self.at):
             self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
@@ -261,7 +263,7 @@ class Encoder:
         self.count[n : n + len(pieces)] = count
         self.at[n : n + len(pieces)] = base + np.cumsum(count) - count
         self.used += len(flat)
-        self.known.update(zip(hashes, range(n, n + len(pieces)), strict=True))
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = "".join(parts)
@@ -272,21 +274,16 @@ class Encoder:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         begin = split_points(points, ends)
         stop = np.append(begin[1:], len(points))
-        power, inverse = _powers(len(points))
-        total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_point_values()[points] * power, out=total[1:])
-        hashes = (total[stop] - total[begin]) * inverse[begin]
-        distinct, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.max_cache:
+        sample, back = _distinct(text, points, begin, stop)
+        if len(self.known) + len(sample) > self.max_cache:
             self._clear()
-        names = distinct.tolist()
+        names = [text[i:j] for i, j in zip(begin[sample].tolist(), stop[sample].tolist(), strict=True)]
         get = self.known.get
         where = np.fromiter((get(x, -1) for x in names), np.int64, len(names))
         new = np.flatnonzero(where < 0)
         if len(new):
-            a, b = begin[sample[new]].tolist(), stop[sample[new]].tolist()
             first = len(self.known)
-            self._learn([names[i] for i in new], [text[i:j].encode() for i, j in zip(a, b, strict=True)])
+            self._learn([names[i] for i in new])
             where[new] = np.arange(first, first + len(new))
         entry = where[back]
         each = self.count[entry]
@@ -322,6 +319,21 @@ class Encoder:
         return self.digit_bytes[gather(self.digit_at[ids], self.digit_len[ids])].tobytes()[1:]
 
 
+def _distinct(text: str, points: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces that tile ``points``: where each distinct piece occurs, and each piece's number among them."""
+    power, inverse = _powers(len(points))
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_point_values()[points] * power, out=total[1:])
+    hashes = (total[stop] - total[begin]) * inverse[begin]
+    _, sample, back = np.unique(hashes, return_index=True, return_inverse=True)
+    size, same = stop - begin, sample[back]
+    if (size == size[same]).all() and (points[gather(begin[same], size)] == points).all():
+        return sample, back
+    seen: dict[str, int] = {}  # different pieces share a hash
+    back = np.fromiter((seen.setdefault(text[i:j], len(seen)) for i, j in zip(begin.tolist(), stop.tolist(), strict=True)), np.int64, len(begin))
+    return np.unique(back, return_index=True)[1], back
+
+
 @lru_cache(1)
 def _point_values() -> np.ndarray:
     return mix64(np.arange(0x110000, dtype=np.uint64))
@@ -360,7 +372,7 @@ def text_slices(batch: pa.RecordBatch, text_col: str, chars: int = PART_CHARS) -
 
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
     """``df`` with the text's token ids as array<int>."""
-    path = ranks_path or default_ranks()
+    path, df = ranks_path or default_ranks(), without(df, ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -370,14 +382,12 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks_pa
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids_col])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(worker(run), T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", ranks_path: str | None = None) -> DataFrame:
     """``df`` with the bytes that the ids stand for; null ids give null."""
-    path = ranks_path or default_ranks()
+    path, df = ranks_path or default_ranks(), without(df, bytes_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -386,8 +396,6 @@ def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded", rank
             made = pa.array([None if x is None else enc.decode(np.array(x, np.int64)) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, bytes_col])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(worker(run), T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests, one machine)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where the setting is absent, on one machine only."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark.sparkContext, "_tissuelake_dir", None)
         if path is None:
             path = "file://" + tempfile.mkdtemp(prefix="tissuelake-")
@@ -28,11 +31,47 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries inside drop their shuffle files as they end: what they made has been written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = workspace(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = workspace(spark, label)
+    with tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tissuelake_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty written tables that nothing will read again."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t._tissuelake_path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it if a column of ``df`` bears it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that are called like ``names``, whatever their case."""
+    gone = {n.lower() for n in names}
+    return df.select(*["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in gone])
 
 
 def remainder(id_col: str, mod: int) -> Column:

@@ -2,14 +2,16 @@
 
 A document is the set of its shingles of ``WORDS`` words (lower case, split at white space; a shorter text is one
 shingle). Equal word sequences are one text, so copies are never compared: texts carry their number of documents.
+Texts, words and shingles are told apart by 128 bits that start from a cryptographic hash of their bytes.
 
 Every text has 96 MinHash values in 24 bands of 4. Texts that agree in a band are a candidate pair, looked at in the
 first band where they agree and nowhere else. Its values are compared sixteen at a time; with a uniform prior on the
 similarity, the pair is dropped as soon as the posterior probability that it reaches ``threshold`` falls below
 ``tolerance``. What is left is decided by the exact Jaccard similarity of the shingle sets.
 
-Buckets of any size are cut into blocks of about ``BLOCK`` texts; a task compares one block with itself or with another
-one, so no group comes together in one task. Pairs never become rows: tasks return, per text, how many documents it is
+Buckets of any size are cut into blocks of about ``BLOCK`` texts (a 32nd of the bucket, up to ``MOST``, in large ones,
+so that a text is sent 32 times at most in buckets of up to 32 * MOST texts); a task compares one block with itself or
+with another one, so no group comes together in one task. Pairs never become rows: tasks return, per text, how many documents it is
 linked to and one edge of a spanning forest of its links.
 
 A true pair at similarity 0.8 shares no band with probability 3e-6. Documents without words (null or blank) have no
@@ -29,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _point_values, _powers, gather, mix64, text_slices
-from .common import materialize, worker
+from .bpe import gather, mix64, text_slices
+from .common import discard, fresh, materialize, worker
 from .components import components
 
 WORDS = 5
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP = 16
-BLOCK = 512
+BLOCK, MOST = 512, 8192
 PAIRS = 1 << 16
 BITMAP_BITS = 24
 MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -48,34 +50,44 @@ def normalised(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles in order, and how many each normalised text has (0 for an empty one)."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    n = int(sizes.sum())
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
-    start = np.zeros(n, bool)
-    start[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    space = points == 32
-    start[1:] |= space[:-1]
-    begin = np.flatnonzero(start)
-    stop = np.append(begin[1:], n)
-    stop = stop - space[stop - 1]
-    power, inverse = _powers(n)
-    total = np.append(np.uint64(0), np.cumsum(_point_values()[points] * power))
-    word = mix64((total[stop] - total[begin]) * inverse[begin])
-    words = np.diff(np.searchsorted(begin, np.append(0, np.cumsum(sizes))))
+    """128 bits (two columns) of all shingles in order, and how many each normalised text has (0 for an empty one)."""
+    split = [t.split(" ") if t else [] for t in texts]
+    words = np.array([len(w) for w in split], np.int64)
     counts = np.where(words > 0, np.maximum(words - WORDS + 1, 1), 0)
+    number: dict[str, int] = {}
+    word = np.array([number.setdefault(w, len(number)) for ws in split for w in ws], np.int64)
+    names = np.frombuffer(b"".join(map(digest, number)), np.uint64).reshape(-1, 2)
     at = gather(np.cumsum(words) - words, counts)
     last = np.repeat(np.cumsum(words), counts)
-    out = np.zeros(len(at), np.uint64)
-    padded = np.append(word, np.zeros(WORDS, np.uint64))
+    out = np.zeros((len(at), 2), np.uint64)
+    word = np.append(word, np.full(WORDS, len(number)))
+    names = np.concatenate([names, np.zeros((1, 2), np.uint64)])
     for i in range(WORDS):
-        out = mix64(out) + np.where(at + i < last, padded[at + i], np.uint64(i))
+        inside = (at + i < last)[:, None]
+        out = mix64(out ^ np.uint64(i)) + np.where(inside, names[word[at + i]], np.uint64(i))
     return mix64(out), counts
 
 
+def codes(rows: np.ndarray) -> np.ndarray:
+    """Numbers of 128-bit values, equal for equal values only, in the order of the values."""
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    ahead = rows[order]
+    number = np.cumsum(np.append(False, (ahead[1:] != ahead[:-1]).any(1)))
+    out = np.empty(len(rows), np.int64)
+    out[order] = number
+    return out
+
+
+def distinct(rows: np.ndarray) -> np.ndarray:
+    """Each 128-bit value once."""
+    return rows[np.unique(codes(rows), return_index=True)[1]]
+
+
 def minhashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """16-bit MinHash values (text x 96) of texts that each have a shingle."""
     out = np.zeros((len(counts), HASHES), np.uint16)
@@ -108,9 +120,9 @@ def _signed(docs: DataFrame) -> DataFrame:
                 texts = [normalised(t) for t in texts]
                 hashes, counts = shingles(texts)
                 sig = np.zeros((len(texts), HASHES), np.uint16)
-                sig[counts > 0] = minhashes(hashes, counts[counts > 0])
+                sig[counts > 0] = minhashes(hashes[:, 0], counts[counts > 0])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(sig.view(np.int64).ravel()))
-                rid = pa.array([hashlib.md5(t.encode()).digest() if t else None for t in texts], pa.binary())
+                rid = pa.array([digest(t) if t else None for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), rid, bands], ["doc_id", "rid", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(worker(run), "doc_id long, rid binary, sig array<long>")
@@ -185,16 +197,16 @@ def _compared(members: DataFrame, threshold: float, tolerance: float) -> DataFra
     return members.mapInArrow(worker(run), "band int, v long, i long, j long, rid binary, size long, place int, partners array<int>")
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """``docs`` with rid, the name of the row's text."""
+def named(docs: DataFrame, rid_col: str = "rid") -> DataFrame:
+    """``docs`` with ``rid_col`` (a new column), the name of the row's text; null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                rid = [hashlib.md5(t.encode()).digest() if t else None for t in map(normalised, texts)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rid, pa.binary())], [*part.schema.names, "rid"])
+                rid = [digest(t) if t else None for t in map(normalised, texts)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rid, pa.binary())], [*part.schema.names, rid_col])
 
-    return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, T.StructField("rid", T.BinaryType())]))
+    return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, T.StructField(rid_col, T.BinaryType())]))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,7 +226,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part, texts in text_slices(batch, "text"):
                 hits, names, kept, no_id = [], [], [], part.column(0).is_null().to_pylist()
                 for k, t in enumerate(map(normalised, texts)):
-                    rid = hashlib.md5(t.encode()).digest()
+                    rid = digest(t)
                     w = int.from_bytes(rid[: BITMAP_BITS // 8], "big")
                     if t and bitmap[w >> 5] >> (w & 31) & 1:
                         if no_id[k]:  # once a task: any number of rows may have no id
@@ -226,7 +238,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         kept.append(t)
                 hashes, counts = shingles(kept)
                 ends = np.cumsum(counts)
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+                sets = [distinct(hashes[a:b]).tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hits, pa.int64())), pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["low", "rid", "set"])
 
     sets, asked = docs.select("doc_id", "text").mapInArrow(worker(run), "low long, rid binary, set binary"), wanted.select(F.col("rid").alias("name"), F.col("low").alias("least"))
@@ -243,12 +255,12 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             names, weight = table["rid"].to_pylist(), table["size"].to_numpy()
             raw = table["set"]
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                sets = [np.frombuffer(raw[k].as_py(), np.uint64) for k in range(a, b)]
+                sets = [np.frombuffer(raw[k].as_py(), np.uint64).reshape(-1, 2) for k in range(a, b)]
                 size = np.array([len(s) for s in sets], np.int64)
-                codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                code = codes(np.concatenate(sets))
                 at = np.cumsum(size) - size
                 place = {int(p): k for k, p in enumerate(places[a:b])}
-                mark = np.zeros(int(codes.max()) + 1, np.int64)
+                mark = np.zeros(int(code.max()) + 1, np.int64)
                 links, parent = np.zeros(b - a, np.int64), list(range(b - a))
 
                 def find(x: int, parent=parent) -> int:
@@ -261,17 +273,17 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                     other = np.array([place[p] for p in partners[a + k]], np.int64)
                     if not len(other):
                         continue
-                    mark[codes[at[k] : at[k] + size[k]]] = 1
+                    mark[code[at[k] : at[k] + size[k]]] = 1
                     for i in range(0, len(other), 128):
                         part = other[i : i + 128]
-                        both = np.add.reduceat(mark[codes[gather(at[part], size[part])]], np.cumsum(size[part]) - size[part])
+                        both = np.add.reduceat(mark[code[gather(at[part], size[part])]], np.cumsum(size[part]) - size[part])
                         part = part[both / (size[k] + size[part] - both) >= threshold]
                         links[k] += weight[a + part].sum()
                         links[part] += weight[a + k]
                         for p in part.tolist():
                             x, y = find(k), find(p)
                             parent[max(x, y)] = min(x, y)
-                    mark[codes[at[k] : at[k] + size[k]]] = 0
+                    mark[code[at[k] : at[k] + size[k]]] = 0
                 for k in np.flatnonzero(links).tolist():
                     out[0].append(names[a + k])
                     out[1].append(int(links[k]))
@@ -282,12 +294,12 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, rid: the name of the text, null without words), and texts (rid, root, class_id, n_links)."""
+    """Rows (doc_id, rid: the name of the text, null without words), and texts (rid, low: least id, root, class_id, n_links)."""
     signed = materialize(_signed(docs), "jaccard-signatures")
     texts = materialize(signed.filter("rid is not null").groupBy("rid").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("low"), F.first("sig").alias("sig")), "jaccard-texts")
     bands = texts.select("rid", F.posexplode("sig").alias("band", "v"))
     shared = bands.groupBy("band", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK)
+    parts = F.ceil(F.col("n") / F.least(F.lit(MOST), F.greatest(F.lit(BLOCK), F.col("n") / 32)))
     members = bands.join(shared, ["band", "v"]).join(texts.select("rid", "size", "sig"), "rid").withColumn("mine", F.pmod(F.xxhash64("rid"), parts))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     members = members.select("band", "v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rid", "size", "mine", "sig")
@@ -295,16 +307,33 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1
     wanted = pairs.select("rid").distinct().join(texts.select("rid", "low"), "rid")
     rows = pairs.join(_sets(docs, wanted), "rid").repartition(*GROUP).sortWithinPartitions(*GROUP, "place")
     found = materialize(_verified(rows, threshold), "jaccard-links")
+    discard(pairs)
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rid").alias("u"), F.col("parent").alias("v")))
     place = texts.select("rid", "size", "low").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = place.groupBy("root").agg(F.min("low").alias("class_id"))
-    info = place.join(least, "root").join(links, "rid", "left").select("rid", "root", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = place.join(least, "root").join(links, "rid", "left").select("rid", "low", "root", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "rid"), info
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """doc_id, class_id (least id of the document's connected group), n_links (documents at ``threshold`` or above)."""
     rows, info = jaccard_groups(docs, threshold, tolerance)
-    out = rows.join(info.drop("root"), "rid", "left")
+    out = rows.join(info.drop("root", "low"), "rid", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def first_of_groups(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """``docs`` with one row of every group of linked documents: the least id's, of the texts under that id the first by name.
+
+    Of a group without any id one row stays. Rows without words are linked to nothing and all stay.
+    """
+    _, texts = jaccard_groups(docs, threshold, tolerance)
+    order = F.struct(F.col("low").isNull().alias("none"), "low", "rid")
+    key = lambda rid, id: F.concat(F.col(rid), F.coalesce(F.col(id).cast("string"), F.lit("-")).cast("binary"))
+    least = texts.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.rid").alias("rid"), F.col("m.low").alias("low")).select(key("rid", "low").alias("key"))
+    name = fresh(docs, "rid")
+    rows = named(docs, name)
+    rows = rows.filter(F.col(name).isNotNull()).select(key(name, "doc_id").alias("key"), F.struct(*[f"`{c}`" for c in rows.columns]).alias("row"))
+    kept = rows.join(least, "key", "left_semi").dropDuplicates(["key"]).select("row.*").drop(name)
+    return kept.unionByName(named(docs, name).filter(F.col(name).isNull()).drop(name)).select(*[f"`{c}`" for c in docs.columns])

@@ -20,8 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_rate, held_out, sampled, worker
+from .common import bounded_rate, held_out, sampled, without, worker
 
 UNKNOWN = "und"
 
@@ -97,17 +98,17 @@ class Model:
         return self.langs[k], float(1 - away[k] / (self.size * len(own)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score."""
-    from pyspark.sql import types as T
+def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 400, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``docs`` with ``lang_col`` and ``score_col``, in place of columns that are called so."""
+    docs = without(docs, lang_col, score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(profiles, size)
         for batch in batches:
             made = [model.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index(text_col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], [*batch.schema.names, lang_col, score_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return docs.mapInArrow(worker(run), schema)
 
 

@@ -5,9 +5,10 @@ word lengths, how many of its words are distinct, and hashed character pairs, th
 attention (a tanh branch times a sigmoid branch) weights the passages; the weighted sum of their codes is scored by a
 logistic unit. All weights are learned together from document labels by gradient descent.
 
-Training takes about ``max_docs`` labelled documents (chosen by a hash of the id), fewer if they have more than
-``max_passages`` passages together, and every passage of each; scoring reads every passage of every text. Null texts
-count as empty: one passage of zeros.
+Training takes about ``max_docs`` labelled documents (chosen by a hash of the id), fewer rows (chosen by a hash of id
+and text) if an id stands on many or if they have more than ``max_passages`` passages together, and every passage of
+each; scoring reads every passage of every text. Null texts count as empty: one passage of zeros. Equal texts under one id and label teach once. Words of a passage count as equal if their 64-bit
+hashes are, which moves one feature, never an identity.
 Labels other than 0 and 1 teach nothing; of contradicting labels of an id the lowest counts. With no label, or labels of
 one kind only, every score is the share of label 1 (0.5 without any). Repeated rows are scored row by row; other
 columns are ignored.
@@ -22,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import _point_values, _powers, mix64, text_slices
-from .common import bounded_rate, held_out, sampled, worker
+from .common import bounded_rate, held_out, sampled, without, worker
 
 PASSAGE = 512
 PAIRS = 64
@@ -145,13 +147,14 @@ class Model:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_passages: int = 200_000, **options) -> Model:
     """Learn from ``labels`` (doc_id, quality) and the texts of ``docs``."""
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rate = bounded_rate(known.count(), max_docs)
-
-    def labelled(rate: float) -> DataFrame:
-        return docs.select("doc_id", "text").join(F.broadcast(known.filter(sampled("doc_id", rate))), "doc_id")  # about max_docs rows of two numbers
-
+    taken = known.filter(sampled("doc_id", bounded_rate(known.count(), max_docs)))  # about max_docs rows of two numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
     each = F.greatest(F.lit(1), F.ceil(F.length(F.coalesce("text", F.lit(""))) / PASSAGE))
-    rows = labelled(rate * bounded_rate(labelled(rate).agg(F.sum(each)).first()[0] or 0, max_passages))
+    seen = rows.select("doc_id", F.xxhash64("text").alias("t"), each.alias("n")).distinct().agg(F.count(F.lit(1)), F.sum("n")).first()
+    rate = min(bounded_rate(seen[0], max_docs), bounded_rate(seen[1] or 0, max_passages))
+    if rate < 1:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("row"), "doc_id", "text"), F.lit(1 << 30)) < rate * (1 << 30))
+    rows = rows.dropDuplicates(["doc_id", "text"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,16 +171,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_pa
     return Model().fit(np.concatenate(bags) if bags else np.zeros((0, WIDTH), np.float32), np.array([len(b) for b in bags], np.int64), y, **options)
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with quality_score."""
-    from pyspark.sql import types as T
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """``docs`` with ``score_col``, in place of a column that is called so."""
+    docs = without(docs, score_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, text_col):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], [*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(*passages(texts)), pa.float64())], [*part.schema.names, score_col])
 
-    return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import held_out, materialize
-from tissuelake.llm.jaccard import jaccard_groups, named
+from tissuelake.llm.common import discard, fresh, held_out, materialize
+from tissuelake.llm.jaccard import first_of_groups
 from tissuelake.llm.langid import UNKNOWN, fit_profiles
 from tissuelake.llm.langid import predict as predict_language
 from tissuelake.llm.packing import pack_documents
@@ -27,32 +27,25 @@ LEAST_SHORT, SHORT = 0.2, 20
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier scores at LEAST_QUALITY or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out("doc_id", 4, 2))
-    model = fit_quality(docs, labels)
-    return score_quality(docs, model).filter(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    score = fresh(docs, "quality_score")
+    return score_quality(docs, fit_quality(docs, labels), score_col=score).filter(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no known language: no letters, or far from every profile."""
     profiles = fit_profiles(docs.filter(~held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < SHORT
-    near = (F.col("lang_score") >= LEAST_LANGUAGE) | ((F.col("lang_score") >= LEAST_SHORT) & short)
-    kept = (F.col("lang_pred") != UNKNOWN) & near
-    return predict_language(docs, profiles).filter(kept).select(*docs.columns)
+    near = (F.col(score) >= LEAST_LANGUAGE) | ((F.col(score) >= LEAST_SHORT) & short)
+    return predict_language(docs, profiles, lang_col=lang, score_col=score).filter((F.col(lang) != UNKNOWN) & near).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of documents linked at Jaccard similarity 0.8, once; of a group without ids, one row.
+    """Keeps one row of each group of documents linked at Jaccard similarity 0.8: the least id's, or any of a group without ids.
 
-    Rows without words are linked to nothing: of these, all without id stay.
+    Rows without words are linked to nothing and stay.
     """
-    rows, texts = jaccard_groups(docs)
-    texts = materialize(texts, "pipeline-groups")
-    keep = rows.join(texts, "rid", "left").filter("doc_id = coalesce(class_id, doc_id)").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    nameless = named(docs.filter("doc_id is null"))
-    first = texts.filter("class_id is null").groupBy("root").agg(F.min("rid").alias("rid")).select("rid")
-    one = nameless.filter("rid is not null").dropDuplicates(["rid"]).join(first, "rid", "left_semi")
-    return kept.unionByName(nameless.filter("rid is null").unionByName(one).drop("rid")).select(*docs.columns)
+    return first_of_groups(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -171,12 +171,12 @@ def test_exact_top_k(spark):
 
 def test_approximate_recall(spark):
     x, df = vectors(spark)
-    got = {(r.query_id, r.vec_id) for r in ann.search(*ann.build_index(df)).collect()}
+    got = {(r.query_id, r.vec_id) for r in ann.search(ann.build_index(df)).collect()}
     want = {(q, v) for q, _, v in nearest(x.astype(float), 20)}
     assert len(got & want) / len(want) >= 0.9
 
 
-@pytest.mark.parametrize("search", [topk.top_k, lambda df: ann.search(*ann.build_index(df))])
+@pytest.mark.parametrize("search", [topk.top_k, lambda df: ann.search(ann.build_index(df))])
 def test_vector_edges(spark, search):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (None, [1.0, 2.0]), (5, None), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (40, [3.0, -1.0]), (42, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))

@@ -10,14 +10,16 @@ rows the ``rerank`` best estimates among distinct vectors, and all others that t
 square on the sample) leaves level with them, get the exact inner product in double precision. So a crowd of almost
 equal vectors, whose codes are the same, is reranked whole.
 
-Rows without id, vector or finite components, and zero vectors, take no part, nor do rows of another dimension than
-the longest. Equal vectors stand for one another: ties go to smaller ids. A query's own id is excluded; fewer than k
-candidates are all returned when ``rerank`` >= k. Extra columns are ignored; an empty table gives an empty result.
+Rows without id, vector or finite components, and zero vectors, take no part; every dimension has codebooks of its own
+and vectors of different dimensions are not compared. Equal vectors stand for one another: ties go to smaller ids. A
+query's own id is excluded; of rows with one id the least vector is the query; fewer than k candidates are all returned
+when ``rerank`` >= k. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_rate, materialize, sampled, worker
-from .vectors import BLOCK, arrays, best, final, query_blocks, usable
+from .vectors import BLOCK, Partial, final, paired, pairs_of, query_blocks, row_blocks, usable, vectors_of
 
-ROWS = 8192
 PART = "query_id long, vec_id long, score double"
 
 
@@ -101,23 +102,25 @@ class Codebooks:
         return (part[:, ::2, :, None] + part[:, 1::2, None, :]).reshape(len(queries), self.subs // 2, 256).astype(np.float32)
 
 
-def build_index(embeddings: DataFrame, sample: int = 20_000, eta: float = 4.0) -> tuple[DataFrame, Codebooks | None]:
-    """The index table (vec_id, embedding, codes) of all usable rows, and its codebooks."""
-    rows = usable(embeddings, nonzero=True)
-    dim, n = rows.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
-    if dim is None:
-        return rows.withColumn("codes", F.lit(b"")), None
-    rows = rows.filter(F.size("embedding") == dim)
-    got = rows.filter(sampled("vec_id", bounded_rate(n, sample))).orderBy("vec_id").toArrow().combine_chunks()  # about `sample` rows
-    books = Codebooks(dim, eta).fit(arrays(got.to_batches()[0])[1] if got.num_rows else np.zeros((0, dim)))
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = books.encode(arrays(batch)[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], [*batch.schema.names, "codes"])
+@dataclass
+class Index:
+    """Usable rows, their packed blocks with codes, and the codebooks of every dimension."""
 
-    kind = rows.schema["embedding"].dataType.simpleString()
-    return materialize(rows.mapInArrow(worker(code), f"vec_id long, embedding {kind}, codes binary"), "ann-index"), books
+    rows: DataFrame
+    blocks: DataFrame
+    books: dict[int, Codebooks]
+
+
+def build_index(embeddings: DataFrame, sample: int = 8192, eta: float = 4.0) -> Index:
+    """Codebooks from about ``sample`` rows of each dimension, and the codes of all usable rows."""
+    rows = usable(embeddings, nonzero=True)
+    found = {r["dim"]: r["n"] for r in rows.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a dimension
+    books = {}
+    for dim, n in sorted(found.items()):
+        got = rows.filter((F.size("embedding") == dim) & sampled("vec_id", bounded_rate(n, sample))).orderBy("vec_id").toArrow().combine_chunks()  # about `sample` rows
+        flat = got["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        books[dim] = Codebooks(dim, eta).fit(flat.reshape(-1, dim))
+    return Index(rows, materialize(row_blocks(rows, lambda dim, vectors: books[dim].encode(vectors).tobytes()), "ann-index"), books)
 
 
 def _scan(ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, queries: tuple[np.ndarray, np.ndarray], books: Codebooks, k: int, rerank: int) -> list[np.ndarray]:
@@ -151,28 +154,22 @@ def _scan(ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, queries: tuple[n
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def search(index: DataFrame, books: Codebooks | None, k: int = 20, every: int = 20, rerank: int = 64, block: int = BLOCK) -> DataFrame:
+def search(index: Index, k: int = 20, every: int = 20, rerank: int = 64, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query (ids divisible by ``every``)."""
-    spark = index.sparkSession
-    out = spark.createDataFrame([], PART)
-    if books is None:
-        return final(out, k)
-    for queries in query_blocks(index.select("vec_id", "embedding"), every, block):
-        held = spark.sparkContext.broadcast((queries, books))
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            queries, books = held.value
-            kept = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
-            for batch in batches:
-                for i in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(i, ROWS)
-                    ids, rows = arrays(part)
-                    codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-                    new = _scan(ids, rows, codes, queries, books, k, rerank)
-                    kept = [np.concatenate(x) for x in zip(kept, new, strict=True)]
-                    take = best(kept[0], kept[1], kept[2], k)
-                    kept = [x[take] for x in kept]
-            yield pa.RecordBatch.from_arrays([pa.array(queries[0][kept[0]]), pa.array(kept[2]), pa.array(kept[1])], ["query_id", "vec_id", "score"])
-
-        out = out.unionByName(index.select("vec_id", "embedding", "codes").mapInArrow(worker(scan), PART))
-    return final(out, k)
+    spark = index.rows.sparkSession
+    if not index.books:
+        return final(spark.createDataFrame([], PART), k)
+    books = index.books
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = Partial(k, pa.float64())
+        for batch in batches:
+            for pair in pairs_of(batch):
+                ids, dim = np.frombuffer(pair["ids"], np.int64), pair["dim"]
+                names = np.frombuffer(pair["names"], np.int64)
+                codes = np.frombuffer(pair["codes"], np.uint8).reshape(len(ids), -1)
+                q, score, found = _scan(ids, vectors_of(pair["vectors"], dim), codes, (names, vectors_of(pair["queries"], dim)), books[dim], k, rerank)
+                yield from kept.add(pair["block"], names, q, score, found)
+        yield from kept.rest()
+
+    return final(paired(query_blocks(index.rows, every, block), index.blocks).mapInArrow(worker(scan), PART), k)

@@ -56,7 +56,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import build_index, search
 
-    return search(*build_index(table(spark, sf_dir, "embeddings")))
+    return search(build_index(table(spark, sf_dir, "embeddings")))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

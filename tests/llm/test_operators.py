@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tissuelake.llm import ann, bpe, jaccard, katz, langid, packing, pii, quality, topk, warc
+from tissuelake.llm import ann, bpe, jaccard, langid, packing, pii, quality, topk, warc
 from tissuelake.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
@@ -249,76 +249,6 @@ def test_jaccard_links_rows_without_ids(spark):
     assert sum((t or "").startswith(lone) for _, t in kept) == 1
 
 
-# -- language model
-
-
-def brute_katz(rows):
-    def toks(t):
-        return [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w] + [None]
-
-    u, b = collections.Counter(), collections.Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 10:
-            x = toks(t)
-            u.update(x)
-            b.update(zip([0, *x[:-1]], x, strict=True))
-    n, v = sum(u.values()), len(u)
-    du, db = (katz.discounts(np.array([0] + [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)])) for c in (u, b))
-    cut = lambda d, c: d[min(c, katz.K + 1)] * c
-    unknown = 1 - sum(cut(du, c) for c in u.values()) / n
-    p1 = lambda w: cut(du, u[w]) / n if u[w] else unknown
-    total, seen, mass = collections.Counter(), collections.Counter(), collections.Counter()
-    for (a, w), c in b.items():
-        total[a] += c
-        seen[a] += cut(db, c)
-        mass[a] += p1(w)
-
-    def p2(a, w):
-        if not total[a]:
-            return p1(w)
-        s, k = seen[a] / total[a], 1
-        if 1 - s < 1e-12:
-            k = s = total[a] / (total[a] + 1)
-        return k * cut(db, b[a, w]) / total[a] if b[a, w] else (1 - s) / (1 - mass[a]) * p1(w)
-
-    for a in [*list(total)[:2], 0]:
-        assert abs(sum(p2(a, w) for w in u) + p2(a, "\0never") - 1) < 1e-9
-    out = {}
-    for i, t in rows:
-        x = toks(t)
-        out[i] = (len(x), sum(u[w] > 0 for w in x), n, sum(math.log10((u[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), sum(math.log10(p2(a, w)) for a, w in zip([0, *x[:-1]], x, strict=True)))
-    return out
-
-
-@pytest.mark.parametrize("heavy", [1 << 18, 300])
-def test_katz(spark, heavy):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(300).collect()] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "THE \x0b the\x1fx é É")]
-    df = docs(spark, rows).sortWithinPartitions("doc_id").withColumn("train", ~held_out("doc_id", 10, 0))
-    got = katz.katz_scores(df, "train", chunk_bytes=150_000, heavy=heavy)[0].collect()
-    want = brute_katz(rows)
-    assert len(got) == len(rows)
-    for r in got:
-        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
-        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:], rel=1e-9)
-    assert katz.lm_report(docs(spark, [])).count() == 0
-
-
-def test_katz_discounts_where_raw_counts_fail():
-    for n in ([0, 215810, 61309, 26017, 14862, 13741, 7222], [0, 1000, 300, 0, 100, 90, 0], [0, 0, 50, 0, 9, 0, 4]):
-        seen = [r for r in range(1, katz.K + 2) if n[r]]
-        around = [0, *seen, 2 * seen[-1] - ([0, *seen][-2])]
-        z = [n[r] / (0.5 * (after - before)) for before, r, after in zip(around, seen, around[2:], strict=False)]
-        b, a = np.polyfit(np.log(seen), np.log(z), 1)
-        line = lambda r: math.exp(a + b * math.log(r))
-        star = lambda r: (r + 1) * line(r + 1) / line(r)
-        out = (katz.K + 1) * line(katz.K + 1) / line(1)
-        want = [(star(r) / r - out) / (1 - out) for r in range(1, katz.K + 1)]
-        assert katz.discounts(np.array(n))[1:-1] == pytest.approx(want, rel=1e-9)
-        assert all(0 < d < 1 for d in want) and sorted(want) == want
-    assert katz.discounts(np.array([0, 1000, 250, 100, 52, 31, 20]))[1:-1] == pytest.approx([(x - 0.12) / 0.88 for x in (0.5, 0.6, 0.52 * 4 / 3, 0.31 * 5 / 2.08, 6 * 20 / (5 * 31))])
-    assert katz.discounts(np.array([0, 5, 9, 9, 9, 9, 9]))[2:].tolist() == [1.0] * katz.K and katz.discounts(np.zeros(7, int)).tolist() == [1.0] * 7
-
-
 # -- classifiers
 
 

@@ -43,12 +43,13 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` below the shared folder, in a folder a value of ``by``, and read it back: cuts the lineage and survives
+    lost executors."""
     spark = df.sparkSession
     path = workspace(spark, label)
     with tidy(spark):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tissuelake_path = path
     return out

@@ -1,63 +1,76 @@
-"""Katz backoff language model: Good-Turing discounted bigram counts with exactly normalised backoff weights.
-
-Tokens are words between white space (A-Z lowered) and one end token a text; a text's first token follows a start
-context. Counts up to ``K`` are discounted by Good-Turing, and what the discounts free is the unknown word's
-probability (unigrams) or goes to the words not seen after a context, in proportion to their unigram probability:
-
-    P(w | v) = d(c) c / C(v)  where c = count(v w) > 0,   else  b(v) P(w),   b(v) = (1 - sum of seen) / (1 - sum of P(seen))
-
-A context of which no count is discounted gives up one count's share, so b(v) is never zero. If the counts of counts
-as they stand put a discount outside (0, 1), as groups of copies do, all are taken from counts of counts smoothed by a
-log-linear fit. Only where that line falls no faster than 1 / r, or fewer than two of the counts 1..K+1 occur, does
-absolute discounting of singletons take its place.
-
-Work is shared by chunks (about ``chunk_bytes`` of text) and buckets (parts of the n-gram tables). A chunk sends every
-bucket its distinct n-grams with their counts, packed in one blob; the bucket adds up, stores its part of the model,
-and answers each chunk with counts in the order asked. Contexts of more than ``heavy`` occurrences are spread over all
-buckets by their successors; their totals (at most ``MOST_HEAVY`` rows) go to all tasks. The counts gathered are those
-of the whole training corpus: nothing is capped or sampled.
-
-Words are told apart by 64-bit hashes, successors of one context by 40 bits. Null texts count as empty (one end token);
-rows with null ids train the model and are scored; repeated rows count as often as they stand; other columns are
-ignored. With no training text every score is 0.
+"""Katz backoff language model of order three: Good-Turing discounts with exactly normalised backoff weights.
+
+Tokens are words between white space (A-Z lowered) and one end token a text; two start marks stand before a text. Counts
+up to ``K`` are discounted by Good-Turing, order by order, and what the discounts free goes to the words not seen after
+a context, in proportion to their probability by the shorter context, down to the unknown word's probability:
+
+    P(w | u v) = d3(c) c / C(u v)  where c = count(u v w) > 0,  else  b(u v) P(w | v);   P(w | v) alike, from P(w)
+    b(h) = (1 - sum of seen) / (1 - sum of the shorter context's P over the seen words)
+
+A context of which no count is discounted gives up one count's share, so b is never zero; one that never occurred leaves
+the word to the shorter context. If the counts of counts as they stand put a discount outside (0, 1), as groups of
+copies do, all of the order are taken from counts of counts smoothed by a log-linear fit. Only where that line falls no
+faster than 1 / r, or fewer than two of the counts 1..K+1 occur, does absolute discounting of singletons take its place.
+
+Documents are read once, as chunks of about ``chunk_bytes`` of text, which are written. Words go by their bytes to the
+buckets that number them, so an n-gram is a few exact numbers, never a hash. A chunk sends each of its distinct
+trigrams with its count to the bucket of the middle word, packed with all others for that bucket (never more packets
+than distinct trigrams); there counts are summed, bigram counts follow as sums over the first word, and the chunk gets
+back the counts and, of contexts from which it must back off, the counts of counts that make up the weights. Middle
+words of more than ``heavy`` occurrences (more in very large corpora, so that there are at most ``MOST_HEAVY``) are
+dealt by bigram instead, and bigrams as frequent as that by trigram; what their contexts need is summed by Spark to one
+row a context, a bounded table that goes to all tasks. Nothing is capped or sampled.
+
+Null texts count as empty (one end token); rows with null ids train the model and are scored; repeated rows count as
+often as they stand; other columns are ignored. With no training text every score is 0.
 """
 
 from __future__ import annotations
 
-import gc
-import io
-import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _point_values, _powers, gather, mix64
+from .bpe import mix64
 from .common import held_out, materialize, worker
 
 K = 5
-END, BOS = np.uint64(0x1D), np.uint64(0x2E)
+END = b""
+BOS = 0
 MOST_HEAVY = 1 << 17
-WINDOW = 1 << 18
-LOW40 = np.uint64((1 << 40) - 1)
+SCHEMA = "key long, other long, kind int, data binary"
+BODY, WORDS, STATS, IDS, MODEL, ASK, COUNTS, TOTALS = range(8)
+
+
+# -- packets of arrays -------------------------------------------------------------------------------------------
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    if a.dtype.kind not in "iub" or a.dtype.itemsize == 1:
+        return np.ascontiguousarray(a)
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Flat arrays as one blob; equal bytes of all numbers stand together, since high bytes hardly vary."""
+    """Arrays (whole numbers must not be negative) as one packet; equal bytes of all numbers stand together."""
     raw = []
     for a in arrays:
-        a = np.ascontiguousarray(a)
+        a = _small(np.asarray(a))
         raw += [b"%s %d %d\n" % (a.dtype.str.encode(), a.shape[0], a.shape[1] if a.ndim > 1 else 0), a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
 
 
 def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    """The arrays of a packet, whole numbers as 64 bits."""
     raw, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
     while at < len(raw):
         end = raw.index(b"\n", at)
@@ -66,34 +79,17 @@ def unpack_arrays(blob: bytes) -> list[np.ndarray]:
         n = rows * max(columns, 1)
         data = np.frombuffer(raw, np.uint8, n * kind.itemsize, end + 1).reshape(kind.itemsize, n)
         a = np.ascontiguousarray(data.T).reshape(-1).view(kind)
+        a = a.astype(np.int64) if kind.kind in "iu" else a
         out.append(a.reshape(rows, columns) if columns else a)
         at = end + 1 + n * kind.itemsize
     return out
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens in order, end tokens included, and each token's text."""
-    data = [(t or "").encode() for t in texts]
-    raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-    first = np.cumsum([0, *(len(d) + 1 for d in data[:-1])]) if data else np.zeros(0, np.int64)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    begin = np.flatnonzero(~space & np.append(True, space[:-1]))
-    stop = np.flatnonzero(~space & np.append(space[1:], True)) + 1
-    hashes, i = np.zeros(len(begin), np.uint64), 0
-    while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(stop, begin[i] + WINDOW, "right")))
-        a, b = begin[i], stop[j - 1]
-        part = raw[a:b]
-        part = np.where((part >= 65) & (part <= 90), part + 32, part)
-        power, inverse = _powers(b - a)
-        total = np.append(np.uint64(0), np.cumsum(_point_values()[part] * power))
-        hashes[i:j] = mix64((total[stop[i:j] - a] - total[begin[i:j] - a]) * inverse[begin[i:j] - a])
-        i = j
-    doc = np.searchsorted(first, begin, "right") - 1
-    words = np.bincount(doc, minlength=len(data))
-    out = np.full(len(begin) + len(data), END, np.uint64)
-    out[np.arange(len(begin)) + doc] = hashes
-    return out, np.repeat(np.arange(len(data)), words + 1)
+def _joined(packets: list[list[np.ndarray]], i: int) -> np.ndarray:
+    return np.concatenate([p[i] for p in packets])
+
+
+# -- estimates ---------------------------------------------------------------------------------------------------
 
 
 def turing(n: np.ndarray) -> np.ndarray | None:
@@ -140,7 +136,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """Training totals and the unigram distribution; ``heavy`` holds the sorted hashes of heavy contexts."""
+    """Training totals and the unigram distribution; words of more than ``limit`` occurrences are heavy."""
 
     total: int = 0
     distinct: int = 0
@@ -148,7 +144,7 @@ class Unigrams:
     d: np.ndarray = field(default_factory=lambda: np.ones(K + 2))
     unknown: float = 1.0
     scale: float = 1.0
-    heavy: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    limit: int = 1 << 62
 
     def p(self, c: np.ndarray) -> np.ndarray:
         if not self.total:
@@ -161,19 +157,44 @@ def freed(d: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return counts @ ((1 - d[1 : K + 1]) * np.arange(1, K + 1))
 
 
-# -- chunks ------------------------------------------------------------------------------------------------------
+def weights(total: np.ndarray, by_count: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts: what scales their seen words, and the share that is free for the others."""
+    known = np.maximum(total, 1)
+    free = freed(d, by_count) / known
+    none = free <= 0
+    return np.where(none, known / (known + 1), 1.0), np.where(none, 1 / (known + 1), free)
+
+
+def katz_probability(c: np.ndarray, total: np.ndarray, p_seen: np.ndarray, by_count: np.ndarray, p: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """P(w | h) from count(h w), the context's total, the shorter context's sum over the words seen after h, the
+    numbers of successors with count 1..K, and P(w | shorter context)."""
+    scale, free = weights(total, by_count, d)
+    back = free / np.maximum(1 - p_seen, 1e-300)
+    return np.where(total == 0, p, np.where(c > 0, scale * d[np.minimum(c, K + 1)] * c / np.maximum(total, 1), back * p))
 
 
-def _chunks(docs: DataFrame, chunk_bytes: int, emit) -> DataFrame:
-    """Rows (key, other, kind, data) that ``emit(chunk, batch)`` makes of each chunk of a task's rows."""
+def tally(counts: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Per owner, how many of its items have count 1..K (n x K)."""
+    return np.stack([np.bincount(owner[counts == r], minlength=n) for r in range(1, K + 1)], 1)
+
+
+def _counts_of_counts(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[: K + 2]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = TaskContext.get().partitionId() << 24, [], 0
 
-        def out() -> pa.RecordBatch:
-            rows = list(emit(chunk, pa.Table.from_batches(held).combine_chunks()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], ["key", "other", "kind", "data"])
+# -- rows --------------------------------------------------------------------------------------------------------
 
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "other", "kind", "data"])
+
+
+def _chunks(docs: DataFrame, chunk_bytes: int, emit: Callable[[int, pa.Table], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``emit(chunk, rows)`` makes of each chunk of a task's rows; a chunk's number is partition << 24 | place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
             i = 0
@@ -185,16 +206,17 @@ def _chunks(docs: DataFrame, chunk_bytes: int, emit) -> DataFrame:
                 held.append(batch.slice(i, j - i))
                 i = j
                 if size >= chunk_bytes or i < batch.num_rows:
-                    yield out()
+                    yield _batch(list(emit(chunk, pa.Table.from_batches(held).combine_chunks())))
                     chunk, held, size = chunk + 1, [], 0
         if held:
-            yield out()
+            yield _batch(list(emit(chunk, pa.Table.from_batches(held).combine_chunks())))
 
-    return docs.mapInArrow(worker(run), "key long, other long, kind int, data binary")
+    return docs.mapInArrow(worker(run), SCHEMA)
 
 
-def _by_key(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
-    """Bring the rows of each key together and let ``work(key, {kind: [(other, data)]})`` make record batches of them."""
+def _by_key(rows: DataFrame, parts: int, place: Column, work: Callable, schema: str) -> DataFrame:
+    """Bring the rows of each key together, in partition ``place``, and let ``work(key, {kind: [(other, data)]})`` make
+    record batches of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -208,252 +230,439 @@ def _by_key(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
         if key is not None:
             yield from work(key, held)
 
-    return rows.repartition(parts, "key").sortWithinPartitions("key", "kind", "other").mapInArrow(worker(run), schema)
+    dealt = rows.select("key", "other", "kind", "data").repartitionById(parts, place.cast("int"))
+    return dealt.sortWithinPartitions("key", "kind", "other").mapInArrow(worker(run), schema)
 
 
-def _cut(order: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(ends)).tolist():
-        yield b, order[ends[b] : ends[b + 1]]
+def _unpacked(rows: DataFrame, kind: int, schema: str, columns: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """The packets of one kind as ordinary rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns(unpack_arrays(data))], names)
 
-class Chunk:
-    """Distinct words and bigrams of a chunk, in the order in which it asks the buckets for them."""
-
-    def __init__(self, texts: list[str | None], train: np.ndarray, buckets: int):
-        self.token, self.doc = tokens(texts)
-        self.train, self.buckets, self.n = train, buckets, len(texts)
-        words, back = np.unique(self.token, return_inverse=True)
-        bucket = (mix64(words) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.words, self.bucket = words, bucket
-        self.at = back.astype(np.int64)
-
-    def word_requests(self) -> Iterator[tuple[int, bytes]]:
-        count = np.bincount(self.at, self.train[self.doc], len(self.words)).astype(np.int64)
-        for b, rows in _cut(self.order, self.bucket, self.buckets):
-            yield b, pack_arrays(self.words[rows], count[rows].astype(np.int32))
-
-    def learn_words(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
-        """Training count of every distinct word."""
-        got = np.concatenate([unpack_arrays(data)[0] for _, data in sorted(answers)]).astype(np.int64)
-        if len(got) != len(self.words):
-            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-        counts = np.zeros(len(self.words), np.int64)
-        counts[self.order] = got
-        return counts
-
-    def bigrams(self, heavy: np.ndarray) -> None:
-        first = np.append(True, self.doc[1:] != self.doc[:-1])
-        context = np.where(first, len(self.words), np.append(0, self.at[:-1]))
-        key, self.which = np.unique(context * (len(self.words) + 1) + self.at, return_inverse=True)
-        self.context, self.word = key // (len(self.words) + 1), key % (len(self.words) + 1)
-        names = np.append(self.words, BOS)
-        self.v, self.w = names[self.context], self.words[self.word] & LOW40
-        spread = np.isin(names, heavy)[self.context]
-        where = np.where(spread, mix64(self.v ^ mix64(self.w)), mix64(self.v)) % np.uint64(self.buckets)
-        self.place = where.astype(np.int64)
-        self.asked = np.lexsort((self.w, self.v, self.place))
-
-    def bigram_requests(self, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        seen = np.bincount(self.which, self.train[self.doc], len(self.v)).astype(np.int32)
-        for b, rows in _cut(self.asked, self.place, self.buckets):
-            v = self.v[rows]
-            new = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-            w = self.w[rows]
-            yield b, pack_arrays(v[new], np.diff(np.append(new, len(v))).astype(np.int32), (w & np.uint64(0xFFFFFFFF)).astype(np.uint32), (w >> np.uint64(32)).astype(np.uint8), seen[rows], np.minimum(counts[self.word[rows]], 2**31 - 1).astype(np.int32))
-
-
-def _add_words(bucket: int, held: dict, heavy: int) -> Iterator[pa.RecordBatch]:
-    asked = [(other, unpack_arrays(data)) for other, data in held[0]]
-    words, back = np.unique(np.concatenate([a[0] for _, a in asked]), return_inverse=True)
-    count = np.bincount(back, np.concatenate([a[1] for _, a in asked]), len(words)).astype(np.int64)
+    return rows.filter(F.col("kind") == kind).select("data").mapInArrow(worker(run), schema)
+
+
+def _sum_stats(rows: DataFrame) -> np.ndarray:
+    """The sum of all STATS packets, which are short arrays of one length."""
+    got = _unpacked(rows, STATS, "i long, v long", lambda a: [np.arange(len(a[0])), a[0]]).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(max((r["i"] + 1 for r in got), default=0), np.int64)
+    for r in got:
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _cut(place: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """Of sorted places: each bucket that occurs, and the range of its entries."""
+    ends = np.searchsorted(place, np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        yield b, int(ends[b]), int(ends[b + 1])
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+# -- words -------------------------------------------------------------------------------------------------------
+
+
+def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (the end token first), the number of each token's word, and how many tokens each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    offsets, flat = split.offsets.to_numpy(), split.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))[full]
+    found = flat.filter(pa.array(full)).dictionary_encode()
+    out = np.zeros(len(doc) + len(texts), np.int64)
+    out[np.arange(len(doc)) + doc] = found.indices.to_numpy(zero_copy_only=False) + 1
+    return [END, *found.dictionary.cast(pa.binary()).to_pylist()], out, np.bincount(doc, minlength=len(texts)) + 1
+
+
+def _read_chunk(chunk: int, rows: pa.Table, buckets: int) -> Iterator[tuple]:
+    """A chunk's tokens as a packet of its own, and its words with their training counts for the buckets."""
+    words, token, size = tokens(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+    train = rows["train"].to_numpy(zero_copy_only=False).astype(bool)
+    order = np.argsort(-np.bincount(token, minlength=len(words)), kind="stable")
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    token = place[token]
+    count = np.bincount(token, np.repeat(train, size), len(words)).astype(np.int64)
+    bucket = np.array([xxhash.xxh3_64_intdigest(words[i]) % buckets for i in order.tolist()], np.int64)
+    ids = rows["doc_id"].combine_chunks()
+    named = ids.is_valid().to_numpy(zero_copy_only=False)
+    values = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    yield chunk, 0, BODY, pack_arrays(token, size, train, bucket, named, values.view(np.float64))
+    asked = np.argsort(bucket, kind="stable")
+    for b, i, j in _cut(bucket[asked], buckets):
+        mine = [words[order[k]] for k in asked[i:j].tolist()]
+        yield b, chunk, WORDS, pack_arrays(np.array([len(w) for w in mine]), np.frombuffer(b"".join(mine), np.uint8), count[asked[i:j]])
+
+
+def _number_words(bucket: int, held: dict, buckets: int) -> Iterator[pa.RecordBatch]:
+    asked = [(other, unpack_arrays(data)) for other, data in held[WORDS]]
+    packets = [a for _, a in asked]
+    size, raw = _joined(packets, 0), _joined(packets, 1).astype(np.uint8)
+    found = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+    at = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    names = found.dictionary
+    count = np.bincount(at, _joined(packets, 2), len(names)).astype(np.int64)
+    order = pc.sort_indices(pa.table({"c": count, "w": names}), [("c", "descending"), ("w", "ascending")]).to_numpy().astype(np.int64)
+    number = np.empty(len(names), np.int64)
+    number[order] = np.arange(len(names)) * buckets + bucket + 1
     rows, i = [], 0
     for other, a in asked:
-        rows.append((other, bucket, 1, pack_arrays(count[back[i : i + len(a[0])]].astype(np.int32 if count.max() < 2**31 else np.int64))))
+        mine = at[i : i + len(a[0])]
         i += len(a[0])
-    known = count > 0
-    stats = np.array([count.sum(), known.sum(), count[words == END].sum(), *np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2]], np.int64)
-    rows.append((bucket, 0, 2, pack_arrays(stats, words[count > heavy], count[count > heavy])))
-    rows.append((bucket, 0, 3, pack_arrays(words[known], count[known])))
+        rows.append((other, bucket, IDS, pack_arrays(number[mine], count[mine])))
+    ends = pc.equal(pc.binary_length(names), 0).to_numpy(zero_copy_only=False)
+    rows.append((bucket, 0, STATS, pack_arrays(np.array([count.sum(), (count > 0).sum(), count[ends].sum(), *_counts_of_counts(count)]))))
+    known = order[count[order] > 0]
+    kept = names.take(pa.array(known)).to_pylist()
+    rows.append((bucket, 0, MODEL, pack_arrays(number[known], count[known], np.array([len(w) for w in kept], np.int64), np.frombuffer(b"".join(kept), np.uint8))))
     yield _batch(rows)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], ["key", "other", "kind", "data"])
-
-
-def _add_bigrams(bucket: int, held: dict, uni: Unigrams) -> Iterator[pa.RecordBatch]:
-    asked = [(other, unpack_arrays(data)) for other, data in held[0]]
-    v = np.concatenate([np.repeat(a[0], a[1]) for _, a in asked])
-    w = np.concatenate([a[2].astype(np.uint64) | a[3].astype(np.uint64) << np.uint64(32) for _, a in asked])
-    _, first, back = np.unique(mix64(v) ^ w * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
-    count = np.bincount(back, np.concatenate([a[4] for _, a in asked]), len(first)).astype(np.int64)
-    p = uni.p(np.concatenate([a[5] for _, a in asked])[first].astype(np.int64))
-    v, w = v[first], w[first]
-    names, own = np.unique(v, return_inverse=True)
-    seen = count > 0
-    totals = np.stack([np.bincount(own, count, len(names)), np.bincount(own[seen], p[seen], len(names)), *(np.bincount(own[count == r], minlength=len(names)) for r in range(1, K + 1))], 1)
-    spread = np.isin(names, uni.heavy)
+# -- n-grams of a chunk ------------------------------------------------------------------------------------------
+
+
+class Chunk:
+    """Distinct n-grams of a chunk, in the order in which it asks the buckets for them."""
+
+    def __init__(self, held: dict, uni: Unigrams, buckets: int):
+        self.uni, self.buckets = uni, buckets
+        token, self.size, train, bucket, self.named, values = unpack_arrays(held[BODY][0][1])
+        self.doc_ids, self.train, n = values.view(np.int64), train.astype(bool), len(bucket)
+        asked = np.argsort(bucket, kind="stable")
+        got = [unpack_arrays(data) for _, data in sorted(held[IDS])]
+        self.ids, self.count = np.full(n + 1, BOS), np.full(n + 1, uni.docs)
+        self.ids[asked], self.count[asked] = _joined(got, 0), _joined(got, 1)
+        self.heavy = self.count > uni.limit
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        first = np.zeros(len(token), bool)
+        first[np.cumsum(self.size) - self.size] = True
+        self.w = token
+        self.v = np.where(first, n, np.append(0, token[:-1]))
+        self.u = np.where(first, n, np.append(0, self.v[:-1]))
+        self.base = n + 1
+
+    def _seen(self, which: np.ndarray, n: int, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return np.bincount(which, self.train[self.doc[of]], n).astype(np.int64)
+
+    # bigrams of heavy words
+
+    def pairs(self) -> None:
+        at = np.flatnonzero(self.heavy[self.v])
+        key, which = np.unique(self.v[at] * self.base + self.w[at], return_inverse=True)
+        v, w = key // self.base, key % self.base
+        place = (mix64(self.ids[v].astype(np.uint64) ^ mix64(self.ids[w].astype(np.uint64))) % np.uint64(self.buckets)).astype(np.int64)
+        self.pair_key, self.pair_order = key, np.argsort(place, kind="stable")
+        self.pair_args = (place, v, w, which, at)
+
+    def pair_requests(self) -> Iterator[tuple[int, bytes]]:
+        place, v, w, which, at = self.pair_args
+        o, seen = self.pair_order, self._seen(which, len(v), at)
+        for b, i, j in _cut(place[o], self.buckets):
+            rows = o[i:j]
+            new = np.flatnonzero(_changes(v[rows]))
+            yield b, pack_arrays(self.ids[v[rows][new]], np.diff(np.append(new, len(rows))), self.ids[w[rows]], seen[rows], self.count[w[rows]])
+
+    def learn_pairs(self, answers: list[tuple[int, bytes]]) -> None:
+        self.pair_count = np.zeros(len(self.pair_key), np.int64)
+        if answers:
+            self.pair_count[self.pair_order] = np.concatenate([unpack_arrays(data)[0] for _, data in sorted(answers)])
+
+    def pair_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Counts of pairs of a heavy word and the next one, which occur in the chunk."""
+        return self.pair_count[np.searchsorted(self.pair_key, v * self.base + w)]
+
+    # trigrams
+
+    def trigrams(self) -> None:
+        context, of = np.unique(self.v * self.base + self.u, return_inverse=True)
+        key, self.which = np.unique(of * self.base + self.w, return_inverse=True)
+        c, w = key // self.base, key % self.base
+        v, u = context // self.base, context % self.base
+        hot = self.heavy[v] & self.heavy[u]
+        spread = np.zeros(len(context), bool)
+        inner = hot & (u < self.base - 1) | hot & (v < self.base - 1)
+        spread[inner] = self.pair_counts(u[inner], v[inner]) > self.uni.limit
+        spread[hot & ~inner] = True  # the two start marks, when there are so many documents
+        name = self.ids.astype(np.uint64)
+        near = mix64(name[v])
+        near = np.where(self.heavy[v], mix64(near ^ name[u]), near)[c]
+        near = np.where(spread[c], mix64(near ^ mix64(name[w])), near)
+        place = (near % np.uint64(self.buckets)).astype(np.int64)
+        o = np.argsort(place, kind="stable")
+        # all that follows is in the order in which buckets are asked
+        self.order, self.place, c, self.tw = o, place[o], c[o], w[o]
+        self.tv, self.tu, self.tspread = v[c], u[c], spread[c]
+        new_v, new_c = _changes(self.place, self.tv), _changes(self.place, c)
+        self.v_at, self.c_at = np.flatnonzero(new_v), np.flatnonzero(new_c)
+        self.v_run, self.c_run = np.cumsum(new_v) - 1, np.cumsum(new_c) - 1
+
+    def low(self) -> np.ndarray:
+        """What a bucket must be told of each trigram's end: count(v w) of heavy v, else count(w)."""
+        out, at = self.count[self.tw].copy(), np.flatnonzero(self.heavy[self.tv])
+        out[at] = self.pair_counts(self.tv[at], self.tw[at])
+        return out
+
+    def trigram_requests(self) -> Iterator[tuple[int, bytes]]:
+        seen, low = self._seen(self.which, len(self.order))[self.order], self.low()
+        for b, i, j in _cut(self.place, self.buckets):
+            vs = self.v_at[np.searchsorted(self.v_at, i) : np.searchsorted(self.v_at, j)]
+            cs = self.c_at[np.searchsorted(self.c_at, i) : np.searchsorted(self.c_at, j)]
+            contexts = np.diff(np.append(np.searchsorted(cs, vs), len(cs)))
+            yield b, pack_arrays(self.ids[self.tv[vs]], self.heavy[self.tv[vs]], contexts, self.ids[self.tu[cs]], self.tspread[cs], np.diff(np.append(cs, j)), self.ids[self.tw[i:j]], seen[i:j], low[i:j])
+
+
+# -- sums of a bucket --------------------------------------------------------------------------------------------
+
+
+def _add_pairs(bucket: int, held: dict, uni: Unigrams) -> Iterator[pa.RecordBatch]:
+    asked = [(other, unpack_arrays(data)) for other, data in held[ASK]]
+    packets = [a for _, a in asked]
+    names, v = np.unique(np.repeat(_joined(packets, 0), _joined(packets, 1)), return_inverse=True)
+    key, first, at = np.unique(v << 40 | _joined(packets, 2), return_index=True, return_inverse=True)
+    count = np.bincount(at, _joined(packets, 3), len(key)).astype(np.int64)
+    owner, known = key >> 40, count > 0
+    p = uni.p(_joined(packets, 4)[first])
     rows, i = [], 0
     for other, a in asked:
-        n = int(a[1].sum())
-        got = count[back[i : i + n]]
-        i += n
-        starts = np.cumsum(a[1]) - a[1]
-        backing = np.logical_or.reduceat(got == 0, starts)  # contexts whose backoff weight the chunk needs
-        which = np.searchsorted(names, a[0])
-        small = np.int32 if got.max() < 2**31 else np.int64
-        rows.append((other, bucket, 4, pack_arrays(got.astype(small), totals[which, 0].astype(np.int64), totals[which[backing], 1], backing, totals[which, 2:].astype(np.int32))))
-    n = np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2]
-    rows.append((bucket, 0, 5, pack_arrays(n.astype(np.int64), names[spread], totals[spread])))
-    order = np.lexsort((w[seen], v[seen]))
-    kept, n_kept = np.unique(v[seen], return_counts=True)
-    ws = w[seen][order]
-    rows.append((bucket, 0, 6, pack_arrays(kept, n_kept.astype(np.int32), (ws & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ws >> np.uint64(32)).astype(np.uint8), count[seen][order].astype(np.int32 if count.max(initial=0) < 2**31 else np.int64))))
+        rows.append((other, bucket, COUNTS, pack_arrays(count[at[i : i + len(a[2])]])))
+        i += len(a[2])
+    n = len(names)
+    rows.append((bucket, 0, TOTALS, pack_arrays(names, np.bincount(owner, count, n).astype(np.int64), np.bincount(owner[known], p[known], n), tally(count, owner, n))))
+    rows.append((bucket, 0, STATS, pack_arrays(_counts_of_counts(count))))
+    rows.append((bucket, 0, MODEL, pack_arrays(names[owner[known]], key[known] & ((1 << 40) - 1), count[known])))
     yield _batch(rows)
 
 
-def bigram_probability(c: np.ndarray, total: np.ndarray, p_seen: np.ndarray, by_count: np.ndarray, p: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """P(w | v) from count(v w), the context's total, sum of P(seen), its numbers of successors with count 1..K, and P(w)."""
-    known = np.maximum(total, 1)
-    free = freed(d, by_count) / known
-    none = free <= 1e-12
-    scale, free = np.where(none, known / (known + 1), 1.0), np.where(none, 1 / (known + 1), free)
-    back = free / np.maximum(1 - p_seen, 1e-300)
-    return np.where(total == 0, p, np.where(c > 0, scale * d[np.minimum(c, K + 1)] * c / known, back * p))
+def _add_trigrams(bucket: int, held: dict, uni: Unigrams) -> Iterator[pa.RecordBatch]:
+    asked = [(other, unpack_arrays(data)) for other, data in held[ASK]]
+    packets = [a for _, a in asked]
+    low40 = (1 << 40) - 1
+    names, v_first, v_of = np.unique(_joined(packets, 0), return_index=True, return_inverse=True)
+    heavy = _joined(packets, 1).astype(bool)[v_first]
+    contexts, c_first, c_of = np.unique(np.repeat(v_of, _joined(packets, 2)) << 40 | _joined(packets, 3), return_index=True, return_inverse=True)
+    spread = _joined(packets, 4).astype(bool)[c_first]
+    key, first, t_of = np.unique(np.repeat(c_of, _joined(packets, 5)) << 40 | _joined(packets, 6), return_index=True, return_inverse=True)
+    count = np.bincount(t_of, _joined(packets, 7), len(key)).astype(np.int64)
+    low = _joined(packets, 8)[first]
+    context, w, n_v, n_c = key >> 40, key & low40, len(names), len(contexts)
+    v = contexts[context] >> 40
+    known = count > 0
+    # bigrams of the words that are here with all their contexts
+    pairs, pair_first, pair_of = np.unique(v << 40 | w, return_index=True, return_inverse=True)
+    pair_count = np.bincount(pair_of, count, len(pairs)).astype(np.int64)
+    pair_v = pairs >> 40
+    ours = ~heavy[pair_v]
+    have = ours & (pair_count > 0)
+    total2 = np.bincount(pair_v[ours], pair_count[ours], n_v).astype(np.int64)
+    by2 = tally(pair_count[ours], pair_v[ours], n_v)
+    seen1 = np.bincount(pair_v[have], uni.p(low[pair_first[have]]), n_v)
+    count2 = np.where(heavy[v], low, pair_count[pair_of])
+    # trigram contexts; the words seen after one by their bigram count
+    total3 = np.bincount(context, count, n_c).astype(np.int64)
+    by3 = tally(count, context, n_c)
+    lower = np.where(known, count2, 0)
+    by_lower = tally(lower, context, n_c)
+    large = lower > K
+    more = np.bincount(context[large], lower[large], n_c).astype(np.int64)
+    mask = (by3 > 0) @ (1 << np.arange(K))
+    rows, t_at, c_at, v_at = [], 0, 0, 0
+    for other, a in asked:
+        t, c, vs = t_of[t_at : t_at + len(a[6])], c_of[c_at : c_at + len(a[3])], v_of[v_at : v_at + len(a[0])]
+        t_at, c_at, v_at = t_at + len(t), c_at + len(c), v_at + len(vs)
+        got = count[t]
+        unseen = got == 0
+        c_start = np.cumsum(a[5]) - a[5]
+        backing = np.logical_or.reduceat(unseen, c_start)
+        v_back = np.logical_or.reduceat(backing, np.cumsum(a[2]) - a[2]) & ~heavy[vs]
+        need = c[backing & ~spread[c] & (total3[c] > 0)]
+        vb = vs[v_back]
+        rows.append((other, bucket, COUNTS, pack_arrays(got, total3[c], mask[c], by3[need], by_lower[need], more[need], count2[t[unseen & ~heavy[v[t]]]], total2[vb], by2[vb], seen1[vb])))
+    s = np.flatnonzero(spread)
+    rows.append((bucket, 0, TOTALS, pack_arrays(names[contexts[s] >> 40], contexts[s] & low40, total3[s], by3[s], by_lower[s], more[s])))
+    rows.append((bucket, 0, STATS, pack_arrays(np.concatenate([_counts_of_counts(pair_count[ours]), _counts_of_counts(count)]))))
+    kept = contexts[context[known]]
+    rows.append((bucket, 0, MODEL, pack_arrays(names[kept >> 40], kept & low40, w[known], count[known])))
+    yield _batch(rows)
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs, whose results are written, before the next one."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+# -- scores ------------------------------------------------------------------------------------------------------
+
+
+class Heavy:
+    """Contexts (a word, or one and the word before it) that are dealt over buckets, and the columns of their sums."""
+
+    def __init__(self, table: pa.Table, columns: list[str | list[str]], before: str | None = None):
+        """``table`` is sorted by v and ``before``."""
+        v = table["v"].to_numpy()
+        self.names = np.unique(v)
+        self.keys = self._key(v, table[before].to_numpy() if before else 0)
+        self.columns = [np.stack([table[n].to_numpy() for n in c], 1) if isinstance(c, list) else table[c].to_numpy() for c in columns]
+
+    def _key(self, v: np.ndarray, u: np.ndarray | int) -> np.ndarray:
+        return np.searchsorted(self.names, v) << 40 | u
+
+    def find(self, v: np.ndarray, u: np.ndarray | int = 0) -> list[np.ndarray]:
+        """The columns of contexts that are all here."""
+        at = np.searchsorted(self.keys, self._key(v, u))
+        return [c[at] for c in self.columns]
+
+
+def _log_probabilities(chunk: Chunk, answers: list[list[np.ndarray]], heavy2: Heavy, heavy3: Heavy, d2: np.ndarray, d3: np.ndarray) -> np.ndarray:
+    """log10 P(w | u v) of the chunk's distinct trigrams, in their own order."""
+    uni = chunk.uni
+    c3, total, mask = (_joined(answers, i) for i in range(3))
+    unseen, n_c, n_v = c3 == 0, len(total), len(chunk.v_at)
+    spread, hot = chunk.tspread[chunk.c_at], chunk.heavy[chunk.tv[chunk.v_at]]
+    c_back = np.logical_or.reduceat(unseen, chunk.c_at) if n_c else np.zeros(0, bool)
+    v_back = np.logical_or.reduceat(unseen, chunk.v_at) if n_v else np.zeros(0, bool)
+    by3, lower, more = np.zeros((n_c, K)), np.zeros((n_c, K)), np.zeros(n_c)
+    need = c_back & ~spread & (total > 0)
+    by3[need], lower[need], more[need] = (_joined(answers, i) for i in (3, 4, 5))
+    if spread.any():
+        at = chunk.c_at[spread]
+        total[spread], by3[spread], lower[spread], more[spread] = heavy3.find(chunk.ids[chunk.tv[at]], chunk.ids[chunk.tu[at]])
+        mask[spread] = (by3[spread] > 0) @ (1 << np.arange(K))
+    # bigrams
+    total2, by2, seen1 = np.zeros(n_v, np.int64), np.zeros((n_v, K)), np.zeros(n_v)
+    light = v_back & ~hot
+    total2[light], by2[light], seen1[light] = (_joined(answers, i) for i in (7, 8, 9))
+    dense = v_back & hot
+    if dense.any():
+        total2[dense], seen1[dense], by2[dense] = heavy2.find(chunk.ids[chunk.tv[chunk.v_at[dense]]])
+    # seen trigrams
+    c, kept = chunk.c_run, mask[:, None] >> np.arange(K) & 1
+    scale = weights(total, kept, d3)[0]
+    p = scale[c] * d3[np.minimum(c3, K + 1)] * c3 / np.maximum(total, 1)[c]
+    # the others
+    at = np.flatnonzero(unseen)
+    v, w, run, ctx = chunk.tv[at], chunk.tw[at], chunk.v_run[at], c[at]
+    c2, far = np.zeros(len(at), np.int64), chunk.heavy[v]
+    c2[~far] = _joined(answers, 6)
+    c2[far] = chunk.pair_counts(v[far], w[far])
+    p2 = katz_probability(c2, total2[run], seen1[run], by2[run], uni.p(chunk.count[w]), d2)
+    known2 = np.maximum(total2, 1)
+    share2 = weights(total2, by2, d2)[0] / known2
+    seen2 = share2[run] * (lower[ctx] @ (d2[1 : K + 1] * np.arange(1, K + 1)) + d2[K + 1] * more[ctx])
+    p[at] = katz_probability(np.zeros(len(at), np.int64), total[ctx], seen2, by3[ctx], p2, d3)
+    out = np.empty(len(p))
+    out[chunk.order] = np.log10(p)
+    return out
 
 
 @dataclass
 class KatzModel:
-    """``words`` and ``pairs`` are tables (key = bucket, data = packed arrays) of the n-gram counts."""
+    """The unigrams, the discounts of order two and three, and tables (bucket, packed arrays) of the counts: words (number,
+    count, length, bytes), bigrams of heavy words (v, w, count), trigrams (v, u, w, count)."""
 
     uni: Unigrams
-    d: np.ndarray
+    d2: np.ndarray
+    d3: np.ndarray
     words: DataFrame
-    pairs: DataFrame
+    pairs: DataFrame | None
+    trigrams: DataFrame
 
 
-def katz_scores(docs: DataFrame, train_col: str, chunk_bytes: int = 12_000_000, heavy: int = 1 << 18) -> tuple[DataFrame, KatzModel]:
+def _model_rows(table: DataFrame) -> DataFrame:
+    return table.filter(F.col("kind") == MODEL).select(F.col("key").alias("bucket"), "data")
+
+
+def katz_scores(docs: DataFrame, train_col: str, chunk_bytes: int = 8_000_000, heavy: int = 1 << 18) -> tuple[DataFrame, KatzModel]:
     """Scores of all rows of ``docs`` (doc_id, text) by a model of the rows where ``train_col`` is true."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col(train_col).alias("train"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-size // chunk_bytes))
-
-    def chunk_of(table: pa.Table) -> Chunk:
-        return Chunk(table["text"].to_pylist(), table["train"].to_numpy(zero_copy_only=False).astype(bool), buckets)
-
-    def ask_words(chunk: int, table: pa.Table) -> Iterator[tuple]:
-        return ((b, chunk, 0, data) for b, data in chunk_of(table).word_requests())
-
-    schema = "key long, other long, kind int, data binary"
-    words = materialize(_by_key(_chunks(docs, chunk_bytes, ask_words), buckets, lambda b, held: _add_words(b, held, heavy), schema), "katz-words")
-    uni, n, named = Unigrams(), np.zeros(K + 2, np.int64), []
-    for r in words.filter("kind = 2").select("data").collect():  # a row a bucket
-        stats, names, count = unpack_arrays(bytes(r["data"]))
-        uni.total, uni.distinct, uni.docs = uni.total + int(stats[0]), uni.distinct + int(stats[1]), uni.docs + int(stats[2])
-        n += stats[3:]
-        named.append((names, count))
-    limit = max(heavy, uni.total // MOST_HEAVY)
-    uni.heavy = np.unique(np.concatenate([a[c > limit] for a, c in named] + [np.array([BOS] if uni.docs > limit else [], np.uint64)]))
-    uni.d = discounts(n)
+    kind = lambda table, k: table.filter(F.col("kind") == k)
+
+    chunks = materialize(_chunks(docs, chunk_bytes, lambda chunk, rows: _read_chunk(chunk, rows, buckets)), "katz-chunks", "kind")
+    low = (1 << 24) - 1
+    n_chunks, most = kind(chunks, BODY).agg(F.count(F.lit(1)), F.max(F.col("key").bitwiseAND(F.lit(low)))).first()
+    parts, key = max(1, n_chunks), F.col("key")
+    by_chunk = (F.shiftright(key, 24) * F.lit((most or 0) + 1) + key.bitwiseAND(F.lit(low))) % F.lit(parts)
+    words = materialize(_by_key(kind(chunks, WORDS), buckets, key, lambda b, held: _number_words(b, held, buckets), SCHEMA), "katz-words", "kind")
+
+    stats, uni = _sum_stats(words), Unigrams()
+    if len(stats):
+        uni.total, uni.distinct, uni.docs = (int(x) for x in stats[:3])
+        uni.d = discounts(stats[3:])
+        uni.limit = max(heavy, uni.total // MOST_HEAVY)
     if uni.total:
-        uni.unknown = float(freed(uni.d, n[1 : K + 1]) / uni.total)
+        uni.unknown = float(freed(uni.d, stats[4 : K + 4]) / uni.total)
         if uni.unknown <= 1e-12:
             uni.unknown, uni.scale = 1 / (uni.total + 1), uni.total / (uni.total + 1)
-    known = spark.sparkContext.broadcast(uni)
-    _tidy(spark)
-
-    def send(chunk: int, table: pa.Table) -> Iterator[tuple]:
-        raw = io.BytesIO()
-        with pa.ipc.new_stream(raw, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
-        yield chunk, 0, 0, raw.getvalue()
-
-    def received(held: dict) -> tuple[pa.Table, Chunk, np.ndarray]:
-        if 0 not in held or len(held[0]) != 1 or 1 not in held:
-            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-        table = pa.ipc.open_stream(held[0][0][1]).read_all()
-        chunk = chunk_of(table)
-        counts = chunk.learn_words(held[1])
-        chunk.bigrams(known.value.heavy)
-        return table, chunk, counts
-
-    def ask_bigrams(key: int, held: dict) -> Iterator[pa.RecordBatch]:
-        _, chunk, counts = received(held)
-        for b, data in chunk.bigram_requests(counts):
-            yield _batch([(b, key, 0, data)])
-
-    def rows() -> DataFrame:
-        return _chunks(docs, chunk_bytes, send).unionByName(words.filter("kind = 1"))
-
-    asked = _by_key(rows(), buckets, ask_bigrams, schema)
-    pairs = materialize(_by_key(asked, buckets, lambda b, held: _add_bigrams(b, held, known.value), schema), "katz-pairs")
-    del asked
-    _tidy(spark)
-    n, parts = np.zeros(K + 2, np.int64), []
-    for r in pairs.filter("kind = 5").select("data").collect():
-        a = unpack_arrays(bytes(r["data"]))
-        n += a[0]
-        parts.append(a[1:])
-    names, back = np.unique(np.concatenate([p[0] for p in parts] + [np.zeros(0, np.uint64)]), return_inverse=True)
-    totals = np.zeros((len(names), 2 + K))
-    np.add.at(totals, back, np.concatenate([p[1] for p in parts] + [np.zeros((0, 2 + K))]))
-    d = discounts(n)
-    shared = spark.sparkContext.broadcast((names, totals, d))
-
-    def evaluate(key: int, held: dict) -> Iterator[pa.RecordBatch]:
-        table, chunk, counts = received(held)
-        uni, (names, totals, d) = known.value, shared.value
-        answers = [unpack_arrays(data) for _, data in sorted(held.get(4, []))]
-        c = np.zeros(len(chunk.v), np.int64)
-        got = np.concatenate([a[0] for a in answers]) if answers else np.zeros(0, np.int64)
-        if len(got) != len(c):
-            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-        c[chunk.asked] = got
-        v, place = chunk.v[chunk.asked], chunk.place[chunk.asked]
-        new = np.append(True, (v[1:] != v[:-1]) | (place[1:] != place[:-1]))
-        context = np.cumsum(new) - 1
-        total = np.concatenate([a[1] for a in answers])
-        backing = np.concatenate([a[3] for a in answers])
-        p_seen = np.zeros(len(total))
-        p_seen[backing] = np.concatenate([a[2] for a in answers])
-        by_count = np.concatenate([a[4] for a in answers])
-        of = np.zeros((len(v), 2 + K))
-        of[:, 0], of[:, 1], of[:, 2:] = total[context], p_seen[context], by_count[context]
-        if len(names):
-            at = np.minimum(np.searchsorted(names, v), len(names) - 1)
-            hot = names[at] == v
-            of[hot] = totals[at[hot]]
-        each = np.zeros((len(v), 2 + K))
-        each[chunk.asked] = of
-        p = uni.p(counts)
-        prob = bigram_probability(c, each[:, 0], each[:, 1], each[:, 2:], p[chunk.word], d)
-        score = np.bincount(chunk.doc, np.log10(prob)[chunk.which], chunk.n)
-        base = np.log10((counts + 0.1) / (uni.total + 0.1 * (uni.distinct + 1)))
+    body = kind(chunks, BODY).unionByName(kind(words, IDS))
+    held_uni = spark.sparkContext.broadcast(uni)
+
+    def ask_pairs(chunk: int, held: dict) -> Iterator[pa.RecordBatch]:
+        c = Chunk(held, held_uni.value, buckets)
+        c.pairs()
+        for b, data in c.pair_requests():
+            yield _batch([(b, chunk, ASK, data)])
+
+    asked = _by_key(body, parts, by_chunk, ask_pairs, SCHEMA)
+    pairs = materialize(_by_key(asked, buckets, key, lambda b, held: _add_pairs(b, held, held_uni.value), SCHEMA), "katz-pairs", "kind")
+    sums = _unpacked(pairs, TOTALS, "v long, total long, seen double, " + ", ".join(f"n{r} long" for r in range(1, K + 1)), lambda a: [*a[:3], *a[3].T])
+    got = sums.groupBy("v").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).orderBy("v").toArrow()  # MOST_HEAVY rows at most
+    heavy2 = Heavy(got, ["total", "seen", [f"n{r}" for r in range(1, K + 1)]])
+
+    def received(held: dict) -> Chunk:
+        c = Chunk(held, held_uni.value, buckets)
+        c.pairs()
+        c.learn_pairs(held.get(COUNTS, []))
+        c.trigrams()
+        return c
+
+    def ask_trigrams(chunk: int, held: dict) -> Iterator[pa.RecordBatch]:
+        for b, data in received(held).trigram_requests():
+            yield _batch([(b, chunk, ASK, data)])
+
+    body = body.unionByName(kind(pairs, COUNTS))
+    asked = _by_key(body, parts, by_chunk, ask_trigrams, SCHEMA)
+    trigrams = materialize(_by_key(asked, buckets, key, lambda b, held: _add_trigrams(b, held, held_uni.value), SCHEMA), "katz-trigrams", "kind")
+    counts = _sum_stats(trigrams)
+    counts = counts if len(counts) else np.zeros(2 * (K + 2), np.int64)
+    n2, n3 = counts[: K + 2], counts[K + 2 :]
+    more = _sum_stats(pairs)
+    d2, d3 = discounts(n2 + more if len(more) else n2), discounts(n3)
+    fields = ["total", *(f"n{r}" for r in range(1, K + 1)), *(f"m{r}" for r in range(1, K + 1)), "more"]
+    sums = _unpacked(trigrams, TOTALS, "v long, u long, " + ", ".join(f"{f} long" for f in fields), lambda a: [*a[:3], *a[3].T, *a[4].T, a[5]])
+    got = sums.groupBy("v", "u").agg(*[F.sum(c).alias(c) for c in fields]).orderBy("v", "u").toArrow()  # MOST_HEAVY rows at most
+    heavy3 = Heavy(got, ["total", fields[1 : K + 1], fields[K + 1 : 2 * K + 1], "more"], "u")
+    shared = spark.sparkContext.broadcast((heavy2, heavy3, d2, d3))
+
+    def evaluate(_: int, held: dict) -> Iterator[pa.RecordBatch]:
+        answers = [unpack_arrays(data) for other, data in sorted(held.get(COUNTS, [])) if other >= 0]
+        chunk = received({**held, COUNTS: [(~other, data) for other, data in held.get(COUNTS, []) if other < 0]})
+        uni, n = chunk.uni, len(chunk.size)
+        logp = _log_probabilities(chunk, answers, *shared.value)
+        base = np.log10((chunk.count + 0.1) / (uni.total + 0.1 * (uni.distinct + 1)))
         made = {
-            "doc_id": table["doc_id"].combine_chunks(),
+            "doc_id": pa.array(chunk.doc_ids, mask=~chunk.named.astype(bool)),
             "held_out": pa.array(~chunk.train),
-            "n_tokens": pa.array(np.bincount(chunk.doc, minlength=chunk.n).astype(np.int64)),
-            "n_known": pa.array(np.bincount(chunk.doc, (counts > 0)[chunk.at], chunk.n).astype(np.int64)),
-            "train_tokens": pa.array(np.full(chunk.n, uni.total, np.int64)),
-            "base_score": pa.array(np.bincount(chunk.doc, base[chunk.at], chunk.n)),
-            "score": pa.array(score),
+            "n_tokens": pa.array(chunk.size),
+            "n_known": pa.array(np.bincount(chunk.doc, (chunk.count > 0)[chunk.w], n).astype(np.int64)),
+            "train_tokens": pa.array(np.full(n, uni.total, np.int64)),
+            "base_score": pa.array(np.bincount(chunk.doc, base[chunk.w], n)),
+            "score": pa.array(np.bincount(chunk.doc, logp[chunk.which], n)),
         }
         yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
 
-    scored = _by_key(rows().unionByName(pairs.filter("kind = 4")), buckets, evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    model = KatzModel(uni, d, words.filter("kind = 3").select("key", "data"), pairs.filter("kind = 6").select("key", "data"))
-    return scored, model
+    first = kind(pairs, COUNTS).withColumn("other", F.bitwise_not("other"))  # answers about pairs bear the bucket's complement
+    body = kind(chunks, BODY).unionByName(kind(words, IDS)).unionByName(first).unionByName(kind(trigrams, COUNTS))
+    scored = _by_key(body, parts, by_chunk, evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored, KatzModel(uni, d2, d3, _model_rows(words), _model_rows(pairs), _model_rows(trigrams))
 
 
 def lm_report(docs: DataFrame) -> DataFrame:

@@ -61,6 +61,12 @@ def discard(*tables: DataFrame) -> None:
         t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t._tissuelake_path)
 
 
+def discard_part(table: DataFrame, kind: int) -> None:
+    """Empty the folder ``kind`` of a table that was written by kind."""
+    rows = table.sparkSession.createDataFrame([], table.drop("kind").schema)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{table._tissuelake_path}/kind={kind}")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it if a column of ``df`` bears it already."""
     taken = {c.lower() for c in df.columns}

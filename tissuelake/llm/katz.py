@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import mix64
-from .common import held_out, materialize, worker
+from .common import discard_part, held_out, materialize, worker
 
 K = 5
 END = b""
@@ -271,6 +271,19 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _steps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Values that ascend within runs as differences; a run's first value stays."""
+    out = np.diff(values, prepend=0)
+    out[starts] = values[starts]
+    return out
+
+
+def _unstepped(steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The values again, from the lengths of the runs."""
+    total, starts = np.cumsum(steps), np.cumsum(lengths) - lengths
+    return total - np.repeat(total[starts] - steps[starts], lengths)
+
+
 # -- words -------------------------------------------------------------------------------------------------------
 
 
@@ -306,6 +319,11 @@ def _read_chunk(chunk: int, rows: pa.Table, buckets: int) -> Iterator[tuple]:
         yield b, chunk, WORDS, pack_arrays(np.array([len(w) for w in mine]), np.frombuffer(b"".join(mine), np.uint8), count[asked[i:j]])
 
 
+def _numbers(rank: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Numbers of words by their rank in a bucket, from 1; frequent words have small ones."""
+    return rank * buckets + bucket + 1
+
+
 def _number_words(bucket: int, held: dict, buckets: int) -> Iterator[pa.RecordBatch]:
     asked = [(other, unpack_arrays(data)) for other, data in held[WORDS]]
     packets = [a for _, a in asked]
@@ -315,18 +333,18 @@ def _number_words(bucket: int, held: dict, buckets: int) -> Iterator[pa.RecordBa
     names = found.dictionary
     count = np.bincount(at, _joined(packets, 2), len(names)).astype(np.int64)
     order = pc.sort_indices(pa.table({"c": count, "w": names}), [("c", "descending"), ("w", "ascending")]).to_numpy().astype(np.int64)
-    number = np.empty(len(names), np.int64)
-    number[order] = np.arange(len(names)) * buckets + bucket + 1
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
     rows, i = [], 0
     for other, a in asked:
         mine = at[i : i + len(a[0])]
         i += len(a[0])
-        rows.append((other, bucket, IDS, pack_arrays(number[mine], count[mine])))
+        rows.append((other, bucket, IDS, pack_arrays(rank[mine], count[mine])))
     ends = pc.equal(pc.binary_length(names), 0).to_numpy(zero_copy_only=False)
     rows.append((bucket, 0, STATS, pack_arrays(np.array([count.sum(), (count > 0).sum(), count[ends].sum(), *_counts_of_counts(count)]))))
     known = order[count[order] > 0]
     kept = names.take(pa.array(known)).to_pylist()
-    rows.append((bucket, 0, MODEL, pack_arrays(number[known], count[known], np.array([len(w) for w in kept], np.int64), np.frombuffer(b"".join(kept), np.uint8))))
+    rows.append((bucket, 0, MODEL, pack_arrays(_numbers(rank[known], bucket, buckets), count[known], np.array([len(w) for w in kept], np.int64), np.frombuffer(b"".join(kept), np.uint8))))
     yield _batch(rows)
 
 
@@ -341,16 +359,22 @@ class Chunk:
         token, self.size, train, bucket, self.named, values = unpack_arrays(held[BODY][0][1])
         self.doc_ids, self.train, n = values.view(np.int64), train.astype(bool), len(bucket)
         asked = np.argsort(bucket, kind="stable")
-        got = [unpack_arrays(data) for _, data in sorted(held[IDS])]
-        self.ids, self.count = np.full(n + 1, BOS), np.full(n + 1, uni.docs)
-        self.ids[asked], self.count[asked] = _joined(got, 0), _joined(got, 1)
+        got = [(b, unpack_arrays(data)) for b, data in sorted(held[IDS])]
+        ids, count = np.empty(n, np.int64), np.empty(n, np.int64)
+        ids[asked] = np.concatenate([_numbers(a[0], b, buckets) for b, a in got])
+        count[asked] = _joined([a for _, a in got], 1)
+        order = np.argsort(ids)  # from here on words go in the order of their numbers, after the start mark
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(1, n + 1)
+        token = place[token]
+        self.ids, self.count = np.append(BOS, ids[order]), np.append(uni.docs, count[order])
         self.heavy = self.count > uni.limit
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
         first = np.zeros(len(token), bool)
         first[np.cumsum(self.size) - self.size] = True
         self.w = token
-        self.v = np.where(first, n, np.append(0, token[:-1]))
-        self.u = np.where(first, n, np.append(0, self.v[:-1]))
+        self.v = np.where(first, 0, np.append(0, token[:-1]))
+        self.u = np.where(first, 0, np.append(0, self.v[:-1]))
         self.base = n + 1
 
     def _seen(self, which: np.ndarray, n: int, of: np.ndarray | slice = slice(None)) -> np.ndarray:
@@ -392,7 +416,7 @@ class Chunk:
         v, u = context // self.base, context % self.base
         hot = self.heavy[v] & self.heavy[u]
         spread = np.zeros(len(context), bool)
-        inner = hot & (u < self.base - 1) | hot & (v < self.base - 1)
+        inner = hot & ((u > 0) | (v > 0))
         spread[inner] = self.pair_counts(u[inner], v[inner]) > self.uni.limit
         spread[hot & ~inner] = True  # the two start marks, when there are so many documents
         name = self.ids.astype(np.uint64)
@@ -419,8 +443,9 @@ class Chunk:
         for b, i, j in _cut(self.place, self.buckets):
             vs = self.v_at[np.searchsorted(self.v_at, i) : np.searchsorted(self.v_at, j)]
             cs = self.c_at[np.searchsorted(self.c_at, i) : np.searchsorted(self.c_at, j)]
-            contexts = np.diff(np.append(np.searchsorted(cs, vs), len(cs)))
-            yield b, pack_arrays(self.ids[self.tv[vs]], self.heavy[self.tv[vs]], contexts, self.ids[self.tu[cs]], self.tspread[cs], np.diff(np.append(cs, j)), self.ids[self.tw[i:j]], seen[i:j], low[i:j])
+            first = np.searchsorted(cs, vs)
+            u = self.ids[self.tu[cs]]
+            yield b, pack_arrays(self.ids[self.tv[vs]], self.heavy[self.tv[vs]], np.diff(np.append(first, len(cs))), _steps(u, first), self.tspread[cs], np.diff(np.append(cs, j)), self.ids[self.tw[i:j]], seen[i:j], low[i:j])
 
 
 # -- sums of a bucket --------------------------------------------------------------------------------------------
@@ -451,7 +476,8 @@ def _add_trigrams(bucket: int, held: dict, uni: Unigrams) -> Iterator[pa.RecordB
     low40 = (1 << 40) - 1
     names, v_first, v_of = np.unique(_joined(packets, 0), return_index=True, return_inverse=True)
     heavy = _joined(packets, 1).astype(bool)[v_first]
-    contexts, c_first, c_of = np.unique(np.repeat(v_of, _joined(packets, 2)) << 40 | _joined(packets, 3), return_index=True, return_inverse=True)
+    before = np.concatenate([_unstepped(a[3], a[2]) for a in packets])
+    contexts, c_first, c_of = np.unique(np.repeat(v_of, _joined(packets, 2)) << 40 | before, return_index=True, return_inverse=True)
     spread = _joined(packets, 4).astype(bool)[c_first]
     key, first, t_of = np.unique(np.repeat(c_of, _joined(packets, 5)) << 40 | _joined(packets, 6), return_index=True, return_inverse=True)
     count = np.bincount(t_of, _joined(packets, 7), len(key)).astype(np.int64)
@@ -492,8 +518,9 @@ def _add_trigrams(bucket: int, held: dict, uni: Unigrams) -> Iterator[pa.RecordB
     s = np.flatnonzero(spread)
     rows.append((bucket, 0, TOTALS, pack_arrays(names[contexts[s] >> 40], contexts[s] & low40, total3[s], by3[s], by_lower[s], more[s])))
     rows.append((bucket, 0, STATS, pack_arrays(np.concatenate([_counts_of_counts(pair_count[ours]), _counts_of_counts(count)]))))
-    kept = contexts[context[known]]
-    rows.append((bucket, 0, MODEL, pack_arrays(names[kept >> 40], kept & low40, w[known], count[known])))
+    kept, size = np.unique(context[known], return_counts=True)
+    mine, n_contexts = np.unique(contexts[kept] >> 40, return_counts=True)
+    rows.append((bucket, 0, MODEL, pack_arrays(names[mine], n_contexts, _steps(contexts[kept] & low40, np.cumsum(n_contexts) - n_contexts), size, _steps(w[known], np.cumsum(size) - size), count[known])))
     yield _batch(rows)
 
 
@@ -564,7 +591,8 @@ def _log_probabilities(chunk: Chunk, answers: list[list[np.ndarray]], heavy2: He
 @dataclass
 class KatzModel:
     """The unigrams, the discounts of order two and three, and tables (bucket, packed arrays) of the counts: words (number,
-    count, length, bytes), bigrams of heavy words (v, w, count), trigrams (v, u, w, count)."""
+    count, length, bytes), bigrams of heavy words (v, w, count), trigrams (v, contexts of each, u, words of each, w, count;
+    u and w as steps within their runs)."""
 
     uni: Unigrams
     d2: np.ndarray
@@ -593,6 +621,7 @@ def katz_scores(docs: DataFrame, train_col: str, chunk_bytes: int = 8_000_000, h
     by_chunk = (F.shiftright(key, 24) * F.lit((most or 0) + 1) + key.bitwiseAND(F.lit(low))) % F.lit(parts)
     words = materialize(_by_key(kind(chunks, WORDS), buckets, key, lambda b, held: _number_words(b, held, buckets), SCHEMA), "katz-words", "kind")
 
+    discard_part(chunks, WORDS)
     stats, uni = _sum_stats(words), Unigrams()
     if len(stats):
         uni.total, uni.distinct, uni.docs = (int(x) for x in stats[:3])

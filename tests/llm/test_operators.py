@@ -1,8 +1,5 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
-import base64
-import collections
-import hashlib
 import math
 import random
 import re
@@ -12,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tissuelake.llm import ann, bpe, jaccard, langid, packing, pii, quality, topk, warc
+from tissuelake.llm import ann, bpe, jaccard, langid, packing, pii, quality, topk
 from tissuelake.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
@@ -117,33 +114,6 @@ def test_packing(spark):
             assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
 
 
-# -- WARC
-
-
-def test_warc_round_trip_with_magic_in_payloads(spark):
-    fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:666>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
-    random.seed(2)
-    rows = [(i, None if i % 9 == 0 else "u\r\n", random.choice(["", fake, "x" * random.randint(0, 3000) + fake * random.randint(0, 300) + "WARC/1.1\r\n", None, "same" * 50, "é" * random.randint(1, 90000)])) for i in range(120)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    held = collections.defaultdict(list)
-    for i, _, h in rows:
-        held[h or ""].append(i)
-    want = []
-    for i, _, h in rows:
-        raw, top = (h or "").encode(), max(held[h or ""])
-        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == top else "revisit", None if i == top else top))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")  # splits inside records
-        assert sorted(map(tuple, warc.round_trip(df).collect()), key=str) == sorted(want, key=str)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-
-
-def test_pointer_jumping():
-    assert warc.exits(np.array([0, 10, 30, 35]), np.array([10, 30, 99, 90])).tolist() == [99, 99, 99, 90]
-
-
 # -- vectors
 
 

@@ -2,17 +2,20 @@
 
 Writing: payloads of at least ``min_bytes`` that are equal (SHA-1 and length) are stored once, by the row with the
 largest page_id; the others become revisit records that refer to it. Records leave through Spark's text writer, whose
-line separator is the blank lines that end a record, so each part file is a plain WARC file.
+line separator is the blank lines that end a record, so each part file is a plain WARC file. The table of payloads that
+occur more than once is broadcast if it is small, else the bodies cross a join compressed.
 
 Reading: files are read in splits, cut at the magic line that starts a record. Payloads can hold that line too, so
-every occurrence is only a candidate. A task turns each candidate into an edge to its successor's offset (header
+every occurrence is only a candidate. A first pass turns each candidate into an edge to its successor's offset (header
 plus stated length) and follows the edges to the first offset outside its split by pointer jumping. The edges that
 lead into a split from elsewhere are few; pointer jumping over them from each file's start finds the entry of every
-split, and a last pass inside each split keeps the candidates that its entry reaches. A true record whose payload
-holds the magic line and runs past its split's end is put together from its pieces by a join.
+split. A second pass walks each split's records from its entry, one after the other, and hashes their payloads; it
+holds one record at a time, however many false headers a payload has. A record that a magic line cuts at its split's
+end is put together from the pieces that the next splits, told which record they begin in, hand on.
 
 Null html counts as empty; a null page_id can only be a response where no other row has its payload; equal rows
-with the largest page_id are all responses; null urls give an empty target; other columns are ignored.
+with the largest page_id are all responses; null urls give an empty target; other columns are ignored; an empty table
+gives an archive without records, and no archive no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, worker, workspace
+from .common import discard, materialize, tidy, worker, workspace
 
 MAGIC = "WARC/1.1\r\n"
 TAIL = "\r\n\r\n"
@@ -57,15 +62,19 @@ def _recode(rows: DataFrame, change: Callable[[bytes], bytes]) -> DataFrame:
     return rows.mapInArrow(worker(run), rows.schema)
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write one record per row of ``pages`` (page_id, url, html) below ``path``."""
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, small: int = 8 << 20) -> None:
+    """Write one record per row of ``pages`` (page_id, url, html) below ``path``; tables under ``small`` bytes are broadcast."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A").alias("url"), body.alias("body"))
     rows = rows.withColumns({"bytes": F.octet_length("body"), "digest": sha1_base32(F.col("body").cast("binary"))})
-    keep = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept is not null").drop("n")
-    packed = _recode(rows.withColumn("body", F.col("body").cast("binary")), lambda v: zstandard.compress(v, LEVEL))  # bodies cross the join compressed
-    joined = _recode(packed.join(keep, ["digest", "bytes"], "left"), zstandard.decompress)
-    rows = joined.withColumn("body", F.col("body").cast("string")).withColumn("revisit", F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")))
+    found = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n"))
+    keep = materialize(found.filter("n > 1 and kept is not null").drop("n"), "warc-kept")
+    if keep.count() * 96 <= small:  # bytes of a row in memory
+        joined = rows.join(F.broadcast(keep), ["digest", "bytes"], "left")
+    else:
+        packed = _recode(rows.withColumn("body", F.col("body").cast("binary")), lambda v: zstandard.compress(v, LEVEL))
+        joined = _recode(packed.join(keep.hint("merge"), ["digest", "bytes"], "left"), zstandard.decompress).withColumn("body", F.col("body").cast("string"))
+    rows = joined.withColumn("revisit", F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit("\r\n\r\n"))
     record = F.concat(
@@ -81,7 +90,8 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit(TAIL),
         F.when(F.col("revisit"), "").otherwise(F.concat(http, F.col("body"))),
     )
-    rows.select(record.alias("value")).write.option("lineSep", TAIL).text(path)
+    with tidy(pages.sparkSession):
+        rows.select(record.alias("value")).write.option("lineSep", TAIL).text(path)
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -92,15 +102,22 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
 _FIELD = {k: re.compile(rb"(?:^|\r\n)" + k.encode() + rb": *([^\r]*)", re.I) for k in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "Content-Length", "X-Payload-Length")}
 _META = "record_type string, record_id string, target_uri string, refers_to_id string, stated_digest string, payload_bytes long, payload_digest string"
-_CANDIDATE = f"file string, block long, start long, succ long, exit long, total long, complete boolean, body_at long, {_META}, payload binary"
+_COLUMNS = [c.split()[0] for c in _META.split(", ")] + ["payload"]
+_LEN = len(MAGIC)
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def _header(chunk: bytes) -> tuple[dict[str, str], int, int] | None:
+def _record_batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    kinds = dict(c.split() for c in schema.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in kinds.items()], list(kinds))
+
+
+def _header(chunk: bytes, names: tuple[str, ...] = tuple(_FIELD)) -> tuple[dict[str, str], int, int] | None:
     """Fields, where the block starts in the chunk, and the block's length."""
     end = chunk.find(b"\r\n\r\n")
     if end < 0:
         return None
-    fields = {k: m[1].decode("utf-8", "replace").strip() for k, p in _FIELD.items() if (m := p.search(chunk, 0, end))}
+    fields = {k: m[1].decode("utf-8", "replace").strip() for k in names if (m := _FIELD[k].search(chunk, 0, end))}
     size = fields.get("Content-Length", "")
     return (fields, end + 4, int(size)) if size.isascii() and size.isdigit() and len(size) < 16 else None
 
@@ -131,133 +148,175 @@ def exits(start: np.ndarray, succ: np.ndarray) -> np.ndarray:
     return succ[jump]
 
 
-def _candidates(chunks: DataFrame, payloads: bool) -> DataFrame:
-    magic = MAGIC.encode()
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], int, bytes, bool]]:
+    """Split, offset in the split's stream, text, and whether a magic line stands before it, of every chunk."""
+    key, pos = None, 0
+    for batch in batches:
+        for file, block, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if key != (file, block):
+                key, pos = (file, block), 0
+            value = value.as_py()
+            yield key, pos, value, pos > 0 or block > 0
+            pos += len(value) + _LEN
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
 
-        schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("start", pa.int64()), ("succ", pa.int64()), ("exit", pa.int64()), ("total", pa.int64()), ("complete", pa.bool_()), ("body_at", pa.int64()), *((n, pa.string()) for n in ("record_type", "record_id", "target_uri", "refers_to_id", "stated_digest")), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-        key, pos, rows, waiting = None, 0, [], []
+_EDGE = "file string, block long, start long, succ long, exit long, total long"
+
+
+def _edges(chunks: DataFrame) -> DataFrame:
+    """Per split a row with its length (start is null), and a row a candidate; offsets count from the split's start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, start, succ = None, 0, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if key is None:
                 return
-            start = np.array([r["start"] for r in rows], np.int64)
-            out = exits(start, np.array([r["succ"] for r in rows], np.int64)) if rows else []
-            for r, x in zip(rows, out, strict=True):
-                r |= {"file": key[0], "block": key[1], "exit": int(x), "total": pos}
-            made = [{"file": key[0], "block": key[1], "start": None, "total": pos, "complete": False}, *rows]
-            for i in range(0, len(made), 5000):
-                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in made[i : i + 5000]], schema)
-
-        def settle(row: dict, fields: dict, block: bytes | None) -> None:
-            row |= _described(fields, block) | {"complete": block is not None}
-            if not payloads:
-                row["payload"] = None
-
-        for batch in batches:
-            for file, block, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if key != (file, block):
-                    yield from done()
-                    key, pos, rows, waiting = (file, block), 0, [], []
-                value = value.as_py()
-                still = []
-                for row, fields, size, seen in waiting:  # records that a magic line inside their payload has cut
-                    seen += magic + value
-                    if len(seen) >= size:
-                        settle(row, fields, bytes(seen[:size]))
-                    else:
-                        still.append((row, fields, size, seen))
-                waiting = still
-                first = pos == 0 and block == 0  # what precedes the file's first magic line starts no record
-                if not first and (head := _header(value)):
-                    fields, at, size = head
-                    row = {"start": pos - len(magic), "succ": pos + at + size + len(TAIL), "body_at": pos + at}
-                    rows.append(row)
-                    if len(value) >= at + size:
-                        settle(row, fields, value[at : at + size])
-                    else:
-                        settle(row, fields, None)
-                        waiting.append((row, fields, size, bytearray(value[at:])))
-                pos += len(value) + len(magic)
+            a, b = np.array(start, np.int64), np.array(succ, np.int64)
+            out = exits(a, b)
+            for i in range(0, max(1, len(a)), 100_000):
+                n = len(a[i : i + 100_000])
+                head = [] if i else [None]
+                columns = [pa.array(head + x[i : i + n].tolist(), pa.int64()) for x in (a, b, out)]
+                size = n + len(head)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * size, pa.string()), pa.array([key[1]] * size, pa.int64()), *columns, pa.array([total] * size, pa.int64())], ["file", "block", "start", "succ", "exit", "total"])
+
+        for split, pos, value, marked in _walk(batches):
+            if split != key:
+                yield from done()
+                key, start, succ = split, [], []
+            if marked and (head := _header(value, ("Content-Length",))):  # what precedes the file's first magic line starts no record
+                start.append(pos - _LEN)
+                succ.append(pos + head[1] + head[2] + len(TAIL))
+            total = pos + len(value) + _LEN
         yield from done()
 
-    return chunks.mapInArrow(worker(run), _CANDIDATE)
-
-
-def _mark(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one split that its entry reaches."""
-    rows = rows.sort_values("start").reset_index(drop=True)
-    start, succ, at, hit = rows["start"].to_numpy(), rows["succ"].to_numpy(), rows["entry"].iloc[0], []
-    while True:
-        i = int(np.searchsorted(start, at))
-        if i >= len(start) or start[i] != at:
-            break
-        hit.append(i)
-        at = succ[i]
-    return rows.iloc[hit][["file", "start"]]
+    return chunks.mapInArrow(worker(run), _EDGE)
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row per true record: record_type, record_id, target_uri, refers_to_id, digests, length and payload."""
-    found = _candidates(_chunks(spark, path), payloads)
-    found = materialize(found, "warc-candidates")
-    base = found.filter("start is null").select("file", "block", "total")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).drop("total")
-    placed = found.filter("start is not null").join(base, ["file", "block"]).withColumns({c: F.col(c) + F.col("base") for c in ("start", "succ", "exit", "body_at")})
-    edges = placed.select("file", "block", "start", "succ", "exit")
-    heads = edges.groupBy("file").agg(F.min("block").alias("block")).select("file", F.lit(0).cast("long").alias("start"))
+def _splits(found: DataFrame) -> DataFrame:
+    """A row a split: name (16 bytes), base (its offset in the file), entry (its first true record's offset)."""
+    size = found.filter("start is null").select("file", "block", "total")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    base = size.select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    edges = found.filter("start is not null").join(base, ["file", "block"]).select("file", "block", *[(F.col(c) + F.col("base")).alias(c) for c in ("start", "succ", "exit")])
+    heads = edges.groupBy("file").agg(F.min("block")).select("file", F.lit(0).cast("long").alias("start"))
     targets = edges.select("file", F.col("exit").alias("start")).distinct()
     jump = materialize(edges.join(targets.unionByName(heads).distinct(), ["file", "start"]).select("file", "start", F.col("exit").alias("nxt")), "warc-jumps")
-    reached, n = heads, -1
+    reached, n = materialize(heads, "warc-reached"), -1
     while True:
-        reached = materialize(reached.unionByName(reached.join(jump, ["file", "start"]).select("file", F.col("nxt").alias("start"))).distinct(), "warc-reached")
+        old, reached = reached, materialize(reached.unionByName(reached.join(jump, ["file", "start"]).select("file", F.col("nxt").alias("start"))).distinct(), "warc-reached")
+        discard(old)
         if n == (n := reached.count()):
             break
-        jump = materialize(jump.alias("a").join(jump.select("file", F.col("start").alias("nxt"), F.col("nxt").alias("further")), ["file", "nxt"], "left").select("file", "start", F.coalesce("further", "nxt").alias("nxt")), "warc-jumps")
+        old, jump = jump, materialize(jump.alias("a").join(jump.select("file", F.col("start").alias("nxt"), F.col("nxt").alias("further")), ["file", "nxt"], "left").select("file", "start", F.coalesce("further", "nxt").alias("nxt")), "warc-jumps")
+        discard(old)
     entry = edges.join(reached, ["file", "start"]).groupBy("file", "block").agg(F.min("start").alias("entry"))
-    true = edges.join(entry, ["file", "block"]).groupBy("file", "block").applyInPandas(_mark, "file string, start long")
-    kept = placed.join(true, ["file", "start"])
-    columns = ["record_type", "record_id", "target_uri", "refers_to_id", "stated_digest", "payload_bytes", "payload_digest", "payload"]
-    whole = kept.filter("complete").select(*columns)
-    cut = kept.filter("not complete").select("file", "start", "succ", "body_at", "record_type", "record_id", "target_uri", "refers_to_id", "stated_digest")
-    if cut.isEmpty():
-        return whole
-    return whole.unionByName(_rejoin(spark, path, base, materialize(cut, "warc-cut"), payloads).select(*columns))
+    name = F.unhex(F.md5(F.concat_ws("#", "file", "block")))
+    return base.join(entry, ["file", "block"], "left").select("file", "block", name.alias("name"), "base", "entry")
 
 
-def _rejoin(spark: SparkSession, path: str, base: DataFrame, cut: DataFrame, payloads: bool) -> DataFrame:
-    """Records whose pieces lie in several splits."""
-    magic = MAGIC.encode()
+class _Places:
+    """Numbers of every split (32 bytes a split, so a 4-millionth of the archive at 128 MB a split)."""
 
-    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
+    def __init__(self, table: pa.Table, columns: list[str]):
+        self.names = np.array([n.hex() for n in table["name"].to_pylist()], "S32")
+        self.order = np.argsort(self.names)
+        self.names = self.names[self.order]
+        self.columns = [pc.fill_null(table[c], -1).to_numpy()[self.order] for c in columns]
 
-        key, pos = None, 0
-        for batch in batches:
-            at = []
-            for file, block, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if key != (file, block):
-                    key, pos = (file, block), 0
-                at.append(pos)
-                pos += len(value.as_buffer() or b"") + len(magic)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["file", "block", "value", "at"])
-
-    pieces = _chunks(spark, path).mapInArrow(worker(offsets), "file string, block long, value binary, at long").join(base, ["file", "block"]).select("file", (F.col("at") + F.col("base")).alias("at"), "value")
-    parts = cut.join(pieces, "file").filter(f"at + length(value) >= body_at and at < succ - {len(TAIL)} + {len(MAGIC)}")
-
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
+    def find(self, split: tuple[str, int]) -> list[int]:
+        at = np.searchsorted(self.names, hashlib.md5(f"{split[0]}#{split[1]}".encode()).hexdigest().encode())
+        return [int(c[at]) for c in self.columns]
+
+
+_WHOLE = _META + ", payload binary"
+_CUT = "file string, start long, succ long, body_at long, record_type string, record_id string, target_uri string, refers_to_id string, stated_digest string, x_length string"
+_PIECE = "file string, start long, at long, data binary"
+
+
+def _records(chunks: DataFrame, places: Broadcast, what: str, payloads: bool = True) -> DataFrame:
+    """The second pass. ``what``: whole records, the headers of records that are cut, or the pieces of these."""
+    magic, schema = MAGIC.encode(), {"whole": _WHOLE, "cut": _CUT, "pieces": _PIECE}[what]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size = None, [], 0
+        base = want = lead = until = -1
+        open_, block = None, bytearray()  # the record that is being read: start, successor, where its body starts, fields
+
+        def add(row: dict) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            held.append(row)
+            size += len(row.get("payload") or row.get("data") or b"") + 200
+            if size > 4_000_000:
+                yield _record_batch(held, schema)
+                held, size = [], 0
+
+        def end_split() -> Iterator[pa.RecordBatch]:
+            if open_ is None:
+                return
+            start, succ, body_at, fields = open_
+            if what == "cut":
+                yield from add(_described(fields, None) | {"file": key[0], "start": start, "succ": succ, "body_at": body_at, "x_length": fields.get("X-Payload-Length")})
+            if what == "pieces":
+                yield from add({"file": key[0], "start": start, "at": body_at, "data": bytes(block)})
+
+        for split, pos, value, marked in _walk(batches):
+            if split != key:
+                yield from end_split()
+                key, open_, block = split, None, bytearray()
+                base, want, lead, until = places.value.find(split)
+            at = base + pos  # where the text starts; its magic line stands before it
+            if open_ is None and marked and at - _LEN == want:
+                fields, body, n = _header(value)
+                start, want = want, at + body + n + len(TAIL)
+                open_, block = (start, want, at + body, fields), bytearray(value[body : body + n])
+            elif open_ is not None:
+                block += (magic + value)[: open_[1] - len(TAIL) - open_[2] - len(block)]
+            elif what == "pieces" and marked and at - _LEN < until - len(TAIL):
+                yield from add({"file": key[0], "start": lead, "at": at - _LEN, "data": (magic + value)[: until - len(TAIL) - at + _LEN]})
+            if open_ is not None and len(block) == open_[1] - len(TAIL) - open_[2]:
+                if what == "whole":
+                    row = _described(open_[3], bytes(block))
+                    yield from add(row if payloads else row | {"payload": None})
+                open_ = None
+        yield from end_split()
+        if held:
+            yield _record_batch(held, schema)
+
+    return chunks.mapInArrow(worker(run), schema)
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per true record: record_type, record_id, target_uri, refers_to_id, digests, length and payload."""
+    found = materialize(_edges(_chunks(spark, path)), "warc-candidates")
+    splits = materialize(_splits(found), "warc-splits")
+    discard(found)
+
+    def places(table: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(_Places(table.select("name", "base", "entry", "lead", "until").toArrow(), ["base", "entry", "lead", "until"]))
+
+    none = F.lit(None).cast("long")
+    known = places(splits.withColumns({"lead": none, "until": none}))
+    cut = materialize(_records(_chunks(spark, path), known, "cut"), "warc-cut")  # a row a split at most
+    whole = _records(_chunks(spark, path), known, "whole", payloads).select(*_COLUMNS)
+    if cut.isEmpty():
+        return whole
+    # true records do not overlap: a split begins inside the last cut record before it, or inside none
+    events = splits.select("file", F.col("base").alias("at"), F.lit(1).alias("side"), "name", "base", "entry", none.alias("start"), none.alias("succ"))
+    events = events.unionByName(cut.select("file", F.col("start").alias("at"), F.lit(0).alias("side"), "start", "succ"), allowMissingColumns=True)
+    so_far = Window.partitionBy("file").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = events.withColumns({"lead": F.last("start", ignorenulls=True).over(so_far), "until": F.last("succ", ignorenulls=True).over(so_far)}).filter("side = 1")
+    pieces = _records(_chunks(spark, path), places(last), "pieces")
+
+    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.iloc[0]
-        text = magic.join(bytes(v) for v in rows["value"])
-        lo = int(r["body_at"] - r["at"])
-        block = text[lo : lo + int(r["succ"] - 4 - r["body_at"])]
-        out = _described({"WARC-Type": r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Refers-To": r["refers_to_id"], "WARC-Payload-Digest": r["stated_digest"] or ""}, block)
-        return pd.DataFrame([out if payloads else out | {"payload": None}])[["record_type", "record_id", "target_uri", "refers_to_id", "stated_digest", "payload_bytes", "payload_digest", "payload"]]
+        block = b"".join(bytes(d) for d in rows.sort_values("at")["data"])[: int(r["succ"] - len(TAIL) - r["body_at"])]
+        fields = {"WARC-Type": r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Target-URI": r["target_uri"], "WARC-Refers-To": r["refers_to_id"], "WARC-Payload-Digest": r["stated_digest"] or "", "X-Payload-Length": r["x_length"] or ""}
+        out = _described(fields, block)
+        return pd.DataFrame([out if payloads else out | {"payload": None}])[_COLUMNS]
 
-    return parts.groupBy("file", "start").applyInPandas(whole, f"{_META}, payload binary")
+    return whole.unionByName(pieces.join(cut, ["file", "start"]).groupBy("file", "start").applyInPandas(joined, _WHOLE))
 
 
 def page_number(record_id: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .oracles import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +74,16 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_topk": op2_topk, "op3_pii": op3_pii, "op4_bpe": op4_bpe, "op5_quality": op5_quality, "op6_packing": op6_packing, "op7_warc": op7_warc, "op8_jaccard": op8_jaccard, "op9_ann": op9_ann, "op10_katz": op10_katz}
-ORACLES: dict[str, str] = {}
+def base_of_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: all but the list with the added spans."""
+    return op3_pii(spark, sf_dir).drop("spans")
+
+
+def rounded_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 with its sums rounded, since SQL adds in another order."""
+    return op10_katz(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("base_score", "score")})
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_topk, op3_pii, op4_bpe, op5_quality, op6_packing, op7_warc, op8_jaccard, op9_ann, op10_katz, base_of_op3, rounded_op10)}
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -22,7 +22,10 @@ others; only the class of a group that has no id at all is null. Other columns a
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, count, islice
 from math import comb
 
 import numpy as np
@@ -54,22 +57,55 @@ def digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+class _Names:
+    """128 bits of words, kept between batches; begun anew once ``most`` words are known."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.bits = np.zeros((1024, 2), np.uint64)
+
+    def find(self, words: list[list[str]], total: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every word in order, and the bits by number."""
+        if len(self.number) > self.most:
+            self._clear()
+        before = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, total)
+        new = len(self.number) - before
+        while len(self.bits) < before + new:
+            self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
+        made = b"".join(map(digest, islice(reversed(self.number), new)))
+        self.bits[before : before + new] = np.frombuffer(made, np.uint64).reshape(-1, 2)[::-1]
+        return out, self.bits
+
+
+@lru_cache(1)
+def _names() -> _Names:
+    """One a worker process."""
+    return _Names()
+
+
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """128 bits (two columns) of all shingles in order, and how many each normalised text has (0 for an empty one)."""
     split = [t.split(" ") if t else [] for t in texts]
     words = np.array([len(w) for w in split], np.int64)
+    total = int(words.sum())
     counts = np.where(words > 0, np.maximum(words - WORDS + 1, 1), 0)
-    number: dict[str, int] = {}
-    word = np.array([number.setdefault(w, len(number)) for ws in split for w in ws], np.int64)
-    names = np.frombuffer(b"".join(map(digest, number)), np.uint64).reshape(-1, 2)
+    word, bits = _names().find(split, total)
+    names = np.zeros((total + WORDS, 2), np.uint64)
+    names[:total] = bits[word]
     at = gather(np.cumsum(words) - words, counts)
-    last = np.repeat(np.cumsum(words), counts)
+    short = bool((words[words > 0] < WORDS).any())
+    last = np.repeat(np.cumsum(words), counts) if short else None
     out = np.zeros((len(at), 2), np.uint64)
-    word = np.append(word, np.full(WORDS, len(number)))
-    names = np.concatenate([names, np.zeros((1, 2), np.uint64)])
     for i in range(WORDS):
-        inside = (at + i < last)[:, None]
-        out = mix64(out ^ np.uint64(i)) + np.where(inside, names[word[at + i]], np.uint64(i))
+        here = names[at + i]
+        if short:
+            here = np.where((at + i < last)[:, None], here, np.uint64(i))
+        out = mix64(out ^ np.uint64(i)) + here
     return mix64(out), counts
 
 

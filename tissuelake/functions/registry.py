@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXTRACTION: dict[str, Callable[..., Column]] = {
+EXTRACTION: dict[str, Callable[..., Column] | None] = {
     "total_intensity": lambda c: F.sum(c),
     "positive_pixel": lambda c, threshold=0.0: F.count_if(F.col(c) > threshold),
     "mean_intensity": lambda c: F.avg(c),
+    "center_weighting": None,  # weighs pixels by their cell's centroid: operators.cells.center_weighting
 }
 
 #: Moments of a cell's pixels (y, x).

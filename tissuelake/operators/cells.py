@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.registry import EXTRACTION
 from .images import components
 from .labels import max_overlap
 from .masks import PIXEL
@@ -71,21 +73,24 @@ def concavities(gap: np.ndarray, small: int, compact: float, large: int) -> int:
 
 
 def hull_features(mask: DataFrame, small: int = 10, compact: float = 60, large: int = 150) -> DataFrame:
-    """Convex hull and perimeter features of every cell; a task takes the pixels of one fov's cells."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (fov, label), cell in rows.groupby(["fov", "label"], sort=True):
-            y, x = cell["y"].to_numpy(), cell["x"].to_numpy()
-            image = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
-            image[y - y.min(), x - x.min()] = True
-            hull, area, length = hull_image(image), int(image.sum()), perimeter(image)
-            shift = float(np.linalg.norm(np.argwhere(image).mean(0) - np.argwhere(hull).mean(0))) / math.sqrt(area)
-            full = int(hull.sum())
-            out.append((fov, label, full, round((full - area) / full, 6), round(shift, 6), concavities(hull & ~image, small, compact, large), round(length, 6), round(length * length / area, 6)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in HULL.split(", ")])
-
-    return mask.filter("label > 0").select("fov", "label", "y", "x").groupBy("fov").applyInPandas(run, HULL)
+    """Convex hull and perimeter features of every cell; a cell's pixels are one row, so cells are dealt one by one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for fov, label, ys, xs in rows.itertuples(index=False):
+                y, x = np.asarray(ys), np.asarray(xs)
+                image = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
+                image[y - y.min(), x - x.min()] = True
+                hull, area, length = hull_image(image), int(image.sum()), perimeter(image)
+                shift = float(np.linalg.norm(np.argwhere(image).mean(0) - np.argwhere(hull).mean(0))) / math.sqrt(area)
+                full = int(hull.sum())
+                out.append((fov, label, full, round((full - area) / full, 6), round(shift, 6), concavities(hull & ~image, small, compact, large), round(length, 6), round(length * length / area, 6)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in HULL.split(", ")])
+
+    pixels = F.collect_list(F.struct("y", "x"))
+    cells = mask.filter("label > 0").groupBy("fov", "label").agg(pixels.alias("p")).select("fov", "label", "p.y", "p.x")
+    return cells.mapInPandas(run, HULL)
 
 
 def center_weighting(signal: DataFrame, channel: str) -> DataFrame:
@@ -164,3 +169,31 @@ def spanning_tree(cells: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["fov", "a", "b", "d2"])
 
     return cells.select("fov", "label", "cy", "cx").groupBy("fov").applyInPandas(run, "fov long, a long, b long, d2 double")
+
+
+def compartment_table(signal: DataFrame, nuclei: DataFrame, channels: list[str], mode: str = "total_intensity", threshold: float = 0.0) -> DataFrame:
+    """The cell table of both compartments in one row a cell: features of the whole cell, and of its main nucleus as
+    ``<name>_nuclear`` (0 without a nucleus), with nc_ratio.
+
+    ``signal`` holds a row a pixel (fov, y, x, label, channels), ``nuclei`` the nuclear mask. Modes as in the registry.
+    """
+    build = EXTRACTION[mode]
+    extract = (lambda c: build(c, threshold)) if mode == "positive_pixel" else build
+    shape = [F.count(F.lit(1)).alias("area"), F.avg("y").alias("centroid-0"), F.avg("x").alias("centroid-1")]
+
+    def table(rows: DataFrame) -> DataFrame:
+        rows = rows.filter("label > 0")
+        if mode == "center_weighting":
+            made = rows.groupBy("fov", "label").agg(*shape)
+            for c in channels:
+                made = made.join(center_weighting(rows, c), ["fov", "label"])
+            return made
+        return rows.groupBy("fov", "label").agg(*shape, *[F.round(extract(c), 6).alias(c) for c in channels])
+
+    names = ["area", "centroid-0", "centroid-1", *channels]
+    own = max_overlap(signal.select(*PIXEL, "label"), nuclei).select("fov", F.col("a").alias("label"), F.col("b").alias("nucleus"))
+    inside = table(signal.drop("label").join(nuclei.select(*PIXEL, "label"), PIXEL)).select("fov", F.col("label").alias("nucleus"), *[F.col(f"`{c}`").alias(f"{c}_nuclear") for c in names])
+    both = table(signal).join(own, ["fov", "label"], "left").join(inside, ["fov", "nucleus"], "left")
+    rounded = lambda c: F.round(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)), 6).alias(c)
+    ratio = F.round(F.coalesce(F.col("area_nuclear") / F.col("area"), F.lit(0.0)), 6).alias("nc_ratio")
+    return both.select("fov", "label", *[rounded(c) for c in names], *[rounded(f"{c}_nuclear") for c in names], ratio)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
-from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+import pandas as pd
+from pyspark.ml.clustering import LDA, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,13 +18,55 @@ def features(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
 
 
-def kmeans_scan(vectors: DataFrame, ks: range, seed: int = 42) -> DataFrame:
-    """Inertia and silhouette for each k; the models are fitted one after the other on cached vectors."""
-    vectors = vectors.cache()
-    out = []
-    for k in ks:
+def best_kmeans(vectors: DataFrame, k: int, starts: int = 10, seed: int = 42) -> KMeansModel:
+    """The model of least cost among ``starts`` seeds; the fits run side by side on persisted vectors."""
+    vectors = vectors.persist()
+    try:
+        with ThreadPoolExecutor(min(starts, 4)) as pool:
+            models = list(pool.map(lambda s: KMeans(k=k, seed=s).fit(vectors), range(seed, seed + starts)))
+    finally:
+        vectors.unpersist()
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def silhouette(rows: DataFrame, columns: list[str], cluster: str, subsample: int | None = None, seed: int = 42, blocks: int = 8) -> DataFrame:
+    """One row: the mean Euclidean silhouette over rows, from exact distances between all of them.
+
+    ``subsample`` takes that many rows of every cluster (all of smaller ones), chosen by a hash; rows meet block by block.
+    Rows alone in their cluster score 0; with one cluster the result is null.
+    """
+    v = F.array(*[F.col(c).cast("double") for c in columns])
+    named = rows.select(F.col(cluster).alias("g"), v.alias("v"))
+    if subsample is not None:
+        order = Window.partitionBy("g").orderBy(F.xxhash64(F.lit(seed), "v"), "v")
+        named = named.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= subsample).drop("r")
+    points = named.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(c)
+    left = points.select("g", "v", "n", "b", every("c"))
+    right = points.select(F.col("g").alias("h"), F.col("v").alias("v2"), F.col("n").alias("m"), F.col("b").alias("c"), every("b"))
+    far = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    met = left.join(right, ["b", "c"]).groupBy("g", "v", "n", "h").agg(F.sum(far * F.col("m")).alias("s"), F.sum("m").alias("m"))
+    own, other = F.col("g") == F.col("h"), F.col("g") != F.col("h")
+    each = met.groupBy("g", "v", "n").agg(
+        F.max(F.when(own & (F.col("m") > 1), F.col("s") / (F.col("m") - 1))).alias("a"), F.min(F.when(other, F.col("s") / F.col("m"))).alias("b")
+    )
+    score = F.when(F.col("b").isNull(), None).when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.agg(F.round(F.sum(score * F.col("n")) / F.sum(F.when(score.isNotNull(), F.col("n"))), 6).alias("silhouette"))
+
+
+def kmeans_scan(vectors: DataFrame, ks: range, seed: int = 42, columns: list[str] | None = None, subsample: int | None = None) -> DataFrame:
+    """Inertia and Euclidean silhouette for each k, fitted side by side on persisted vectors."""
+    vectors = vectors.persist()
+    columns = columns or [f"f{i}" for i in range(len(vectors.first()["features"]))]
+    parts = vector_to_array("features")
+
+    def one(k: int) -> tuple[int, float, float]:
         model = KMeans(k=k, seed=seed).fit(vectors)
-        out.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(vectors)))))
+        made = model.transform(vectors).select(*[parts[i].alias(c) for i, c in enumerate(columns)], "prediction")
+        return k, float(model.summary.trainingCost), silhouette(made, columns, "prediction", subsample, seed).first()[0]
+
+    with ThreadPoolExecutor(4) as pool:
+        out = list(pool.map(one, ks))
     vectors.unpersist()
     return vectors.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
 
@@ -31,23 +76,61 @@ def pca(vectors: DataFrame, k: int, keep: list[str]) -> DataFrame:
     return made.select(*keep, *[vector_to_array("pcs")[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
-def som(vectors: DataFrame, column: str, keep: list[str], side: int = 4, sample: int = 5000, seed: int = 42, epochs: int = 10) -> DataFrame:
-    """Self-organising map trained on about ``sample`` rows; every row gets its nearest node."""
-    rate = min(1.0, sample / max(1, vectors.count()))
-    x = np.array([r[0] for r in vectors.select(column).sample(rate, seed).collect()], float)
-    rng = np.random.default_rng(seed)
-    nodes = x[rng.integers(0, len(x), side * side)].copy()
+def _node_sums(rows: DataFrame, column: str, nodes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over all rows, each node's weighted sum of vectors and sum of weights; a task sends its sums alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, mass = np.zeros_like(nodes), np.zeros(len(nodes))
+        for batch in batches:
+            x = np.stack(batch[column].to_numpy()).astype(float) if len(batch) else np.zeros((0, nodes.shape[1]))
+            w = weight[nearest_nodes(x, nodes)]
+            total, mass = total + w.T @ x, mass + w.sum(0)
+        yield pd.DataFrame({"node": range(len(nodes)), "total": list(total), "mass": mass})
+
+    parts = rows.select(column).mapInPandas(run, "node int, total array<double>, mass double")
+    sums = parts.groupBy("node").agg(F.array(*[F.sum(F.col("total")[i]) for i in range(nodes.shape[1])]).alias("total"), F.sum("mass").alias("mass")).orderBy("node").collect()  # a row a node
+    return np.array([r["total"] for r in sums]), np.array([r["mass"] for r in sums])
+
+
+def nearest_nodes(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The nearest node of every row, ties to the first."""
+    out = np.zeros(len(x), int)
+    for i in range(0, len(x), 4096):
+        out[i : i + 4096] = ((x[i : i + 4096, None] - nodes[None]) ** 2).sum(2).argmin(1)
+    return out
+
+
+def som(vectors: DataFrame, column: str, keep: list[str], side: int = 4, seed: int = 42, epochs: int = 10) -> DataFrame:
+    """Self-organising map by batch epochs over all rows; every row gets its nearest node, from 1.
+
+    Rows with a null vector or component take no part; an empty table gives no rows. First nodes are the rows of least hash.
+    """
+    rows = vectors.filter(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull()))
+    first = rows.select(F.col(column).alias("v")).distinct().orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(side * side).collect()
+    if not first:
+        return rows.select(*keep, F.lit(None).cast("int").alias("node"))
+    x = np.array([r["v"] for r in first], float)
+    nodes = x[np.arange(side * side) % len(x)]
     grid = np.stack(np.unravel_index(np.arange(side * side), (side, side)), 1)
     apart = ((grid[:, None] - grid[None]) ** 2).sum(2)
     for e in range(epochs):
         width = max(0.5, side / 2 * (1 - e / epochs))
-        near = ((x[:, None] - nodes[None]) ** 2).sum(2).argmin(1)
-        weight = np.exp(-apart[near] / (2 * width**2))
-        nodes = (weight.T @ x) / np.maximum(weight.sum(0)[:, None], 1e-12)
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in n]) for n in nodes])
-    far = lambda n: F.aggregate(F.zip_with(n, F.col(column), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    dist = F.transform(table, far)
-    return vectors.select(*keep, F.array_position(dist, F.array_min(dist)).alias("node"))
+        total, mass = _node_sums(rows, column, nodes, np.exp(-apart / (2 * width**2)))
+        nodes = np.where(mass[:, None] > 1e-12, total / np.maximum(mass[:, None], 1e-12), nodes)
+    return assign_nodes(rows, column, nodes, "node", keep)
+
+
+def assign_nodes(rows: DataFrame, column: str, nodes: np.ndarray, name: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the number, from 1, of the node nearest to ``column``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.stack(batch[column].to_numpy()).astype(float) if len(batch) else np.zeros((0, nodes.shape[1]))
+            yield batch[keep].assign(**{name: nearest_nodes(x, nodes) + 1})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{name}` int"])
+    return rows.select(*dict.fromkeys([*keep, column])).mapInPandas(run, schema)
 
 
 def topics(vectors: DataFrame, k: int, keep: list[str], seed: int = 42) -> DataFrame:
@@ -89,6 +172,24 @@ def meta_clusters(means: DataFrame, cluster: str, columns: list[str], k: int, ca
     return means.sparkSession.createDataFrame([(r[0], int(m)) for r, m in zip(rows, ward(z, k), strict=True)], f"{cluster} {kind}, meta long")
 
 
-def neighborhood_clusters(vectors: DataFrame, k: int, keep: list[str], seed: int = 42) -> DataFrame:
-    """K-means over neighbourhood vectors; ids start at 1."""
-    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors).transform(vectors).select(*keep, (F.col("cluster") + 1).alias("cluster"))
+def neighborhood_clusters(vectors: DataFrame, k: int, keep: list[str], seed: int = 42, starts: int = 10) -> DataFrame:
+    """K-means over neighbourhood vectors, the best of ``starts``; ids start at 1."""
+    if k < 2:
+        raise ValueError("at least two clusters")
+    made = best_kmeans(vectors, k, starts, seed).transform(vectors)
+    return made.select(*keep, (F.col("prediction") + 1).alias("cluster"))
+
+
+def cluster_profile(cells: DataFrame, labels: DataFrame, types: list[str], markers: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells with their neighbourhood cluster; per cluster, cells of each type; per cluster, the markers' means."""
+    joined = cells.join(labels.select("fov", "label", "cluster"), ["fov", "label"])
+    name = F.concat(F.lit("Cluster"), F.col("cluster"))
+    counts = joined.groupBy(name.alias("cluster")).agg(*[F.count_if(F.col("cell_type") == t).alias(t) for t in types])
+    return joined, counts, joined.groupBy(name.alias("cluster")).agg(*[F.round(F.avg(m), 6).alias(m) for m in markers])
+
+
+def profile_zscores(means: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Every column's z-score (population deviation) over the rows of a small table; a constant column gives null."""
+    stats = means.agg(*[F.avg(c).alias(f"__a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
+    z = lambda c: F.round(F.try_divide(F.col(c) - F.col(f"__a_{c}"), F.col(f"__s_{c}")), 6)
+    return means.crossJoin(F.broadcast(stats)).select(key, *[z(c).alias(c) for c in columns])  # the statistics are one row

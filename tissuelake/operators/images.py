@@ -70,17 +70,60 @@ def components(mask: np.ndarray, corners: bool = True) -> np.ndarray:
     return np.where(mask, np.searchsorted(names, own) + 1, 0)
 
 
-def objects(image: np.ndarray, sigma: float, percentile: float, hole: int, least: int, most: int) -> np.ndarray:
-    """Blur, keep what exceeds a percentile of the positive pixels, fill holes below ``hole`` pixels, label, filter by area.
+def block_size(kind: str, fov_dim: int, side: int) -> int:
+    """Pixels for small holes (``small_holes``), or the odd width of a window of about ten micrometres (``local_thresh``)."""
+    pixel = fov_dim / side
+    if kind == "small_holes":
+        return round((np.pi * 5) ** 2 / pixel)
+    if kind != "local_thresh":
+        raise ValueError(f"unknown block: {kind}")
+    n = round(10 / pixel)
+    return n + 1 - n % 2
 
-    Areas from ``least`` to ``most`` stay, with the labels that they had before the filter.
+
+def ridges(image: np.ndarray, sigmas: tuple[float, ...] = (1, 2, 3, 4)) -> np.ndarray:
+    """Brightness of bright ridges, 0 to 1: the strongest negative curvature across them over the scales.
+
+    Curvatures are eigenvalues of the Hessian of the blurred image, mixed so that a line's own direction weighs a third.
+    """
+    best = np.zeros(image.shape)
+    for sigma in sigmas:
+        smooth = blur(image.astype(float), sigma)
+        gy, gx = np.gradient(smooth)
+        (yy, yx), (_, xx) = np.gradient(gy), np.gradient(gx)
+        mean, apart = (yy + xx) / 2, np.sqrt(((yy - xx) / 2) ** 2 + yx**2)
+        low, high = mean - apart, mean + apart
+        big, small = np.where(np.abs(low) > np.abs(high), low, high), np.where(np.abs(low) > np.abs(high), high, low)
+        value = np.maximum(-(big + small / 3), 0) * sigma**2
+        if value.max() > 0:
+            best = np.maximum(best, value / value.max())
+    return best
+
+
+def objects(image: np.ndarray, sigma: float, percentile: float | str | None, hole: int | str | None, least: int, most: int, shape: str = "blob", fov_dim: int = 400) -> np.ndarray:
+    """Blur, threshold, fill holes, label, filter by area.
+
+    ``percentile`` of the positive pixels must be exceeded; ``auto`` compares with a Gaussian mean of the surroundings
+    (about ten micrometres of a fov of ``fov_dim``); None keeps what is positive. Holes below ``hole`` pixels are filled
+    (``auto``: by the fov's size; None: none). A ``projection`` keeps ridges. Areas from ``least`` to ``most`` stay, with
+    the labels that they had before the filter.
     """
-    smooth = blur(image, sigma) if sigma > 0 else image
-    positive = smooth[smooth > 0]
-    mask = smooth > (np.percentile(positive, percentile) if len(positive) else 0)
-    gaps = components(~mask, corners=False)
-    mask |= (gaps > 0) & (np.bincount(gaps.ravel())[gaps] < hole)
-    labels = components(mask)
+    if shape not in ("blob", "projection"):
+        raise ValueError(f"unknown shape: {shape}")
+    smooth = blur(image, sigma) if sigma else image
+    if percentile == "auto":
+        mask = smooth > blur(smooth, (block_size("local_thresh", fov_dim, len(image)) - 1) / 6)
+    elif percentile is None:
+        mask = smooth > 0
+    elif isinstance(percentile, (int, float)):
+        positive = smooth[smooth > 0]
+        mask = smooth > (np.percentile(positive, percentile) if len(positive) else 0)
+    else:
+        raise ValueError(f"unknown threshold: {percentile}")
+    if hole is not None:
+        gaps = components(~mask, corners=False)
+        mask = mask | (gaps > 0) & (np.bincount(gaps.ravel())[gaps] < (block_size("small_holes", fov_dim, len(image)) if hole == "auto" else hole))
+    labels = components(ridges(mask) > 0 if shape == "projection" else mask)
     area = np.bincount(labels.ravel())
     return np.where((area[labels] >= least) & (area[labels] <= most), labels, 0)
 
@@ -94,6 +137,26 @@ def label_components(mask: DataFrame, corners: bool = True) -> DataFrame:
     return per_image(mask, ["fov"], "label", "label", "long", lambda i: components(i > 0, corners))
 
 
-def object_masks(images: DataFrame, channel, sigma: float = 1.0, percentile: float = 80.0, hole: int = 20, least: int = 5, most: int = 100_000) -> DataFrame:
+def object_masks(images: DataFrame, channel, sigma: float = 1.0, percentile: float | str | None = 80.0, hole: int | str | None = 20, least: int = 5, most: int = 100_000, shape: str = "blob", fov_dim: int = 400) -> DataFrame:
     one = images.filter(images["channel"] == channel)
-    return per_image(one, ["fov"], "value", "label", "long", lambda i: objects(i, sigma, percentile, hole, least, most))
+    return per_image(one, ["fov"], "value", "label", "long", lambda i: objects(i, sigma, percentile, hole, least, most, shape, fov_dim))
+
+
+def signal_masks(images: DataFrame, channels: list, sigma: float = 1.0, percentile: float | str | None = 80.0, hole: int | str | None = 20, least: int = 5, most: int = 100_000) -> DataFrame:
+    """Object masks of several channels: (fov, channel, y, x, label)."""
+    some = images.filter(images["channel"].isin(channels))
+    return per_image(some, ["fov", "channel"], "value", "label", "long", lambda i: objects(i, sigma, percentile, hole, least, most))
+
+
+def smooth_mask(mask: DataFrame, sigma: float = 10.0, level: float = 0.0005, hole: int = 0, least: int = 0) -> DataFrame:
+    """A mask (fov, y, x, label) as areas: the blurred presence of labels above ``level``, holes below ``hole`` pixels
+    filled, areas below ``least`` pixels dropped; 1 inside."""
+
+    def kernel(image: np.ndarray) -> np.ndarray:
+        inside = blur((image > 0).astype(float), sigma) > level if sigma else image > 0
+        gaps = components(~inside, corners=False)
+        inside |= (gaps > 0) & (np.bincount(gaps.ravel())[gaps] < hole)
+        parts = components(inside, corners=False)
+        return (inside & (np.bincount(parts.ravel())[parts] >= least)).astype(np.int64)
+
+    return per_image(mask, ["fov"], "label", "label", "long", kernel)

@@ -12,19 +12,28 @@ from pyspark.sql import functions as F
 PIXEL = ["fov", "y", "x"]
 
 
-def edge(mask: DataFrame) -> DataFrame:
-    """The mask with a flag for pixels that differ from one of their four neighbours; the image's rim is no edge."""
-    differs = F.lit(False)
+def edge(mask: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
+    """The mask with a flag for pixels that differ from one of their four neighbours; the image's rim is no edge.
+
+    Pixels that are not given are background. The image is ``height`` by ``width`` from (0, 0), else the frame of the
+    fov's given pixels.
+    """
+    frame = mask.groupBy("fov").agg(F.min("y").alias("__y0"), F.max("y").alias("__y1"), F.min("x").alias("__x0"), F.max("x").alias("__x1"))  # a row a fov
+    if height is not None and width is not None:
+        frame = frame.select("fov", F.lit(0).alias("__y0"), F.lit(height - 1).alias("__y1"), F.lit(0).alias("__x0"), F.lit(width - 1).alias("__x1"))
+    rows, differs = mask.join(frame, "fov"), F.lit(False)
     for line, along in (("y", "x"), ("x", "y")):
         window = Window.partitionBy("fov", line).orderBy(along)
-        for near in (F.lag("label").over(window), F.lead("label").over(window)):
-            differs = differs | F.coalesce(near != F.col("label"), F.lit(False))
-    return mask.withColumn("edge", differs)
+        for step, take, rim in ((-1, F.lag, f"__{along}0"), (1, F.lead, f"__{along}1")):
+            touching = take(along).over(window) == F.col(along) + step
+            near = F.when(touching, take("label").over(window)).otherwise(F.lit(0))
+            differs = differs | ((F.col(along) != F.col(rim)) & (F.coalesce(near, F.lit(0)) != F.coalesce("label", F.lit(0))))
+    return rows.withColumn("edge", differs).drop("__y0", "__y1", "__x0", "__x1")
 
 
-def erode(mask: DataFrame) -> DataFrame:
+def erode(mask: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
     """Edge pixels become background."""
-    return edge(mask).select(*PIXEL, F.when(F.col("edge"), F.lit(0)).otherwise(F.col("label")).cast("long").alias("label"))
+    return edge(mask, height, width).select(*PIXEL, F.when(F.col("edge"), F.lit(0)).otherwise(F.col("label")).cast("long").alias("label"))
 
 
 def boxes(mask: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,18 +21,19 @@ def pairs(cells: DataFrame, radius: int, anchors: bool = False, carry: tuple[str
     return left.join(right, ["fov", "gy", "gx"]).withColumn("d2", d2).filter(((F.col("d2") > 0) | F.lit(anchors)) & (F.col("d2") < radius * radius)).select("fov", "label", "cell_type", "nb_label", "nb_type", "d2", *[f"nb_{c}" for c in carry])
 
 
-def neighborhood_counts(cells: DataFrame, radius: int) -> DataFrame:
-    return pairs(cells, radius).groupBy("fov", "label", "nb_type").agg(F.count(F.lit(1)).alias("n"))
+def neighborhood_counts(cells: DataFrame, radius: int, self_neighbor: bool = False) -> DataFrame:
+    """Neighbours of every type; with ``self_neighbor`` cells at distance 0 count, the cell itself included."""
+    return pairs(cells, radius, self_neighbor).groupBy("fov", "label", "nb_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def neighborhood_freqs(cells: DataFrame, radius: int) -> DataFrame:
+def neighborhood_freqs(cells: DataFrame, radius: int, self_neighbor: bool = False) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy("fov", "label"))
-    return neighborhood_counts(cells, radius).select("fov", "label", "nb_type", F.round(F.col("n") / total, 6).alias("freq"))
+    return neighborhood_counts(cells, radius, self_neighbor).select("fov", "label", "nb_type", F.round(F.col("n") / total, 6).alias("freq"))
 
 
-def neighborhood_matrix(cells: DataFrame, radius: int, types: list[str]) -> DataFrame:
+def neighborhood_matrix(cells: DataFrame, radius: int, types: list[str], self_neighbor: bool = False) -> DataFrame:
     """Wide counts; cells without neighbours are dropped."""
-    wide = pairs(cells, radius).groupBy("fov", "label", "cell_type").pivot("nb_type", types).agg(F.count(F.lit(1)))
+    wide = pairs(cells, radius, self_neighbor).groupBy("fov", "label", "cell_type").pivot("nb_type", types).agg(F.count(F.lit(1)))
     return wide.na.fill(0, types)
 
 
@@ -46,32 +47,85 @@ def diversity(cells: DataFrame, radius: int) -> DataFrame:
     return neighborhood_counts(cells, radius).withColumn("s", share).groupBy("fov", "label").agg(F.round(-F.sum(F.col("s") * F.log2("s")), 6).alias("diversity"))
 
 
-def mixing_scores(cells: DataFrame, radius: int, target: str, reference: str, ratio: int = 5, least: int = 10) -> DataFrame:
-    """Percent and homogeneous mixing per fov; null for few cells, an empty population or a ratio above ``ratio``."""
-    is_t, is_r = F.col("cell_type") == target, F.col("cell_type") == reference
-    size = cells.groupBy("fov").agg(F.count_if(is_t).alias("nt"), F.count_if(is_r).alias("nr"))
-    both = pairs(cells, radius).filter(F.col("cell_type").isin(target, reference) & F.col("nb_type").isin(target, reference))
-    seen = both.groupBy("fov").agg(F.count_if(is_t & (F.col("nb_type") == target)).alias("tt"), F.count_if(is_r & (F.col("nb_type") == reference)).alias("rr"), F.count_if(is_r & (F.col("nb_type") == target)).alias("rt"))
-    ok = (F.col("nt") + F.col("nr") >= least) & (F.col("nt") > 0) & (F.col("nr") > 0) & (F.col("nt") <= ratio * F.col("nr")) & (F.col("nr") <= ratio * F.col("nt"))
-    score = lambda rest: F.round(F.when(ok, F.try_divide(F.col("rt").cast("double"), rest)), 6)
-    return size.join(seen, "fov", "left").na.fill(0, ["tt", "rr", "rt"]).select("fov", score(F.col("rt") + F.col("tt")).alias("percent"), score(F.col("tt") + F.col("rr")).alias("homogeneous"))
+def _populations(cells: DataFrame, radius: int, targets: list[str], references: list[str], self_neighbor: bool) -> DataFrame:
+    """Per fov, over cells that have a neighbour: cells of both populations and contacts within and between them."""
+    both = set(targets) & set(references)
+    if both:
+        raise ValueError(f"types in both populations: {sorted(both)}")
+    contact = lambda names: F.count_if(F.col("nb_type").isin(names))
+    rows = pairs(cells, radius, self_neighbor).groupBy("fov", "label", "cell_type").agg(contact(targets).alias("t"), contact(references).alias("r"))
+    is_t, is_r = F.col("cell_type").isin(targets), F.col("cell_type").isin(references)
+    seen = rows.groupBy("fov").agg(F.count_if(is_t).alias("nt"), F.count_if(is_r).alias("nr"), F.sum(F.when(is_t, F.col("t"))).alias("tt"), F.sum(F.when(is_t, F.col("r"))).alias("tr"), F.sum(F.when(is_r, F.col("r"))).alias("rr"))
+    return cells.select("fov").distinct().join(seen, "fov", "left").na.fill(0)
 
 
-def cell_ratios(cells: DataFrame, target: str, reference: str) -> DataFrame:
-    t, r = F.count_if(F.col("cell_type") == target), F.count_if(F.col("cell_type") == reference)
-    return cells.groupBy("fov").agg(F.round(F.when((t > 0) & (r > 0), t / r), 6).alias("cell_ratio"))
+def mixing_scores(cells: DataFrame, radius: int, targets: list[str], references: list[str], ratio: int = 5, least: int = 200, self_neighbor: bool = False) -> DataFrame:
+    """Percent and homogeneous mixing of two populations per fov, and how many cells they have.
 
+    Cells without any neighbour do not count. Null for fewer than ``least`` cells, an empty population or a ratio above
+    ``ratio``.
+    """
+    n = _populations(cells, radius, targets, references, self_neighbor)
+    nt, nr, tt, tr, rr = (F.col(c) for c in ("nt", "nr", "tt", "tr", "rr"))
+    ok = (nt + nr >= least) & (nt > 0) & (nr > 0) & (nt <= ratio * nr) & (nr <= ratio * nt)
+    score = lambda rest: F.round(F.when(ok, F.try_divide(tr.cast("double"), rest)), 6)
+    return n.select("fov", score(tr + tt).alias("percent"), score(tt + rr).alias("homogeneous"), (nt + nr).alias("n"))
+
+
+def cell_ratios(cells: DataFrame, radius: int, targets: list[str], references: list[str]) -> DataFrame:
+    """Targets per reference cell and the reverse, among cells with a neighbour; null where a population is empty."""
+    n, some = _populations(cells, radius, targets, references, False), (F.col("nt") > 0) & (F.col("nr") > 0)
+    return n.select("fov", F.round(F.when(some, F.col("nt") / F.col("nr")), 6).alias("cell_ratio"), F.round(F.when(some, F.col("nr") / F.col("nt")), 6).alias("reverse_ratio"))
 
-def mean_knn_distance(cells: DataFrame, k: int) -> DataFrame:
-    """Per cell and type, mean distance to the k nearest other-placed cells of the type; null with fewer than k.
 
-    Cells of one fov meet through its id; the window keeps k rows a cell and type before its shuffle.
+def nearest(queries: DataFrame, targets: DataFrame, k: int, apart: Column) -> DataFrame:
+    """The k nearest ``targets`` (fov, kind, nb, ny, nx, more) of each kind for ``queries`` (fov, label, cy, cx).
+
+    ``apart`` tells which pairs count. Rows (fov, label, kind, nb, d2, r, more): rank r from 1, ties by nb. Every fov and
+    kind has a grid of its own, fine enough that nine of its squares hold some nine (k + 1) targets. A query looks at the
+    squares around its own; only if its k-th neighbour is not nearer than what it has not seen, at 81 squares, and then
+    at all targets of its fov and kind. Kinds with few targets in a fov have one square.
     """
-    right = cells.select("fov", F.col("label").alias("nb_label"), F.col("cell_type").alias("nb_type"), F.col("cy").alias("ny"), F.col("cx").alias("nx"))
+    edge = F.sqrt((F.max("ny") - F.min("ny") + 1.0) * (F.max("nx") - F.min("nx") + 1.0) * (k + 1) / F.count(F.lit(1)))
+    reach = F.greatest(F.max("ny") - F.min("ny"), F.max("nx") - F.min("nx")) + 1.0
+    bounds = [F.min("ny").alias("y0"), F.max("ny").alias("y1"), F.min("nx").alias("x0"), F.max("nx").alias("x1")]
+    grid = targets.groupBy("fov", "kind").agg(F.when(F.count(F.lit(1)) > 8 * (k + 1), edge).otherwise(reach).alias("side"), *bounds)  # a row a fov and kind
+    at = lambda c: F.floor((F.col(c) - F.col(f"{c[1]}0")) / F.col("side"))
+    last = lambda c: F.floor((F.col(f"{c}1") - F.col(f"{c}0")) / F.col("side"))
+    placed = targets.join(grid.select("fov", "kind", "side", "y0", "x0"), ["fov", "kind"]).withColumns({"gy": at("ny"), "gx": at("nx")}).drop("side", "y0", "x0")
+    todo = queries.join(grid, "fov").withColumns({"qy": at("cy"), "qx": at("cx"), "my": last("y"), "mx": last("x")})
+    key, out = ["fov", "label", "kind"], None
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("d2", "nb"))
     d2 = (F.col("cy") - F.col("ny")) * (F.col("cy") - F.col("ny")) + (F.col("cx") - F.col("nx")) * (F.col("cx") - F.col("nx"))
-    near = cells.join(right, "fov").withColumn("d2", d2).filter("d2 > 0")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("fov", "label", "nb_type").orderBy("d2", "nb_label"))).filter(F.col("r") <= k)
-    return near.groupBy("fov", "label", "nb_type").agg(F.round(F.when(F.count(F.lit(1)) == k, F.avg(F.sqrt("d2"))), 6).alias("mean_distance"))
+    for ring in (1, 4, None):
+        if ring is None:
+            met = todo.select(*key, "cy", "cx").join(placed.drop("gy", "gx"), ["fov", "kind"])
+        else:
+            lo, hi = (lambda c: F.greatest(F.col(f"q{c}") - ring, F.lit(0))), (lambda c: F.least(F.col(f"q{c}") + ring, F.col(f"m{c}")))  # noqa: B023
+            inside = todo.filter((lo("y") <= hi("y")) & (lo("x") <= hi("x")))
+            spread = inside.withColumn("gy", F.explode(F.sequence(lo("y"), hi("y")))).withColumn("gx", F.explode(F.sequence(lo("x"), hi("x"))))
+            met = spread.select(*key, "cy", "cx", "gy", "gx").join(placed, ["fov", "kind", "gy", "gx"]).drop("gy", "gx")
+        best = met.withColumn("d2", d2).filter(apart).withColumn("r", rank).filter(F.col("r") <= k).drop("cy", "cx", "ny", "nx")
+        if ring is None:
+            return best if out is None else out.unionByName(best)
+        best = best.persist()
+        kth = best.filter(F.col("r") == k).select(*key, F.col("d2").alias("kth"))
+        all_seen = (F.col("qy") <= ring) & (F.col("qx") <= ring) & (F.col("my") - F.col("qy") <= ring) & (F.col("mx") - F.col("qx") <= ring)
+        sure = all_seen | F.coalesce(F.col("kth") < (ring * F.col("side")) * (ring * F.col("side")), F.lit(False))
+        state = todo.join(kth, key, "left").withColumn("done", sure).persist()
+        left = state.filter("not done").count()
+        ready = best.join(state.filter("done").select(*key), key, "left_semi") if left else best
+        out = ready if out is None else out.unionByName(ready)
+        if not left:
+            return out
+        todo = state.filter("not done").drop("kth", "done")
+
+
+def mean_knn_distance(cells: DataFrame, k: int) -> DataFrame:
+    """Per cell and type, mean distance to the k nearest other-placed cells of the type; null with fewer than k."""
+    targets = cells.select("fov", F.col("cell_type").alias("kind"), F.col("label").alias("nb"), F.col("cy").alias("ny"), F.col("cx").alias("nx"))
+    near = nearest(cells.select("fov", "label", "cy", "cx"), targets, k, F.col("d2") > 0)
+    return near.groupBy("fov", "label", F.col("kind").alias("nb_type")).agg(F.round(F.when(F.count(F.lit(1)) == k, F.avg(F.sqrt("d2"))), 6).alias("mean_distance"))
 
 
 def fov_density(cells: DataFrame, pixels: int) -> DataFrame:
@@ -87,9 +141,8 @@ def crosstab(cells: DataFrame) -> DataFrame:
 def fiber_alignment(fibers: DataFrame, k: int = 4, least_ratio: int = 2) -> DataFrame:
     """Root of the summed squared orientation differences to the k nearest long fibres, over k; null for short ones."""
     long = fibers.filter(F.col("major") >= least_ratio * F.col("minor"))
-    other = long.select("fov", F.col("label").alias("nb"), F.col("cy").alias("ny"), F.col("cx").alias("nx"), F.col("orientation").alias("no"))
-    d2 = (F.col("cy") - F.col("ny")) * (F.col("cy") - F.col("ny")) + (F.col("cx") - F.col("nx")) * (F.col("cx") - F.col("nx"))
-    near = long.join(other, "fov").filter("label <> nb").withColumn("r", F.row_number().over(Window.partitionBy("fov", "label").orderBy(d2, "nb"))).filter(F.col("r") <= k)
+    other = long.select("fov", F.lit(0).alias("kind"), F.col("label").alias("nb"), F.col("cy").alias("ny"), F.col("cx").alias("nx"), F.col("orientation").alias("no"))
+    near = nearest(long.select("fov", "label", "cy", "cx"), other, k, F.col("label") != F.col("nb")).join(long.select("fov", "label", "orientation"), ["fov", "label"])
     score = near.groupBy("fov", "label").agg(F.round(F.sqrt(F.sum((F.col("orientation") - F.col("no")) * (F.col("orientation") - F.col("no")))) / k, 6).alias("alignment"))
     return fibers.select("fov", "label").join(score, ["fov", "label"], "left")
 
@@ -130,3 +183,60 @@ def mean_knn_from_pairs(distances: DataFrame, k: int) -> DataFrame:
     """``mean_knn_distance`` over a given table (fov, label, nb_label, nb_type, distance), which need not be symmetric."""
     near = distances.filter("distance > 0").withColumn("r", F.row_number().over(Window.partitionBy("fov", "label", "nb_type").orderBy("distance", "nb_label"))).filter(F.col("r") <= k)
     return near.groupBy("fov", "label", "nb_type").agg(F.round(F.when(F.count(F.lit(1)) == k, F.avg("distance")), 6).alias("mean_distance"))
+
+
+def pair_distance_sums(rows: DataFrame, group: str, features: list[str], blocks: int = 8) -> DataFrame:
+    """Per group the sum of Euclidean distances over its unordered pairs of rows, and its number of rows.
+
+    A row meets its group's rows block by block: a group of any size is spread over blocks * blocks keys.
+    """
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    # the block comes from the values, so that equal rows fall together and a retry finds the same ones
+    named = rows.select(F.col(group).alias("g"), vector.alias("v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    named = named.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
+    other = named.select("g", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("b").alias("c"))
+    left = named.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = other.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    far = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    sums = left.join(right, ["g", "b", "c"]).groupBy("g").agg((F.sum(far * F.col("n") * F.col("n2")) / 2).alias("s"))
+    size = named.groupBy("g").agg(F.sum("n").alias("n"))
+    return size.join(sums, "g").select(F.col("g").alias(group), F.col("s").alias("distance_sum"), "n")
+
+
+def fiber_summary(fibers: DataFrame, side: int, properties: list[str]) -> DataFrame:
+    """Per fov the two densities of ``fiber_density`` and the mean of every property (nulls left out)."""
+    means = fibers.groupBy("fov").agg(*[F.round(F.avg(p), 6).alias(f"avg_{p}") for p in properties])
+    return fiber_density(fibers, side * side).join(means, "fov")
+
+
+def tile_summary(fibers: DataFrame, side: int, tile: int, least: int, properties: list[str]) -> DataFrame:
+    """Every tile of the fov's grid: densities of its fibres (0 without any), and from ``least`` fibres on their means."""
+    if 1024 % tile:
+        raise ValueError("the tile's side must divide 1024")
+    n, at = side // tile, lambda c: F.floor(F.col(c) / tile)
+    line = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    grid = fibers.select("fov").distinct().withColumn("ty", line).withColumn("tx", line)
+    share = lambda c: F.round(100 * c / F.lit(float(tile * tile)), 6)
+    made = fibers.groupBy("fov", at("cy").alias("ty"), at("cx").alias("tx")).agg(F.count(F.lit(1)).alias("n"), share(F.sum("area")).alias("pixel_density"), share(F.countDistinct("label")).alias("fiber_density"), *[F.avg(p).alias(f"avg_{p}") for p in properties])
+    enough = lambda c: F.round(F.when(F.col("n") >= least, F.col(c)), 6).alias(c)
+    rest = grid.join(made, ["fov", "ty", "tx"], "left").na.fill(0, ["n", "pixel_density", "fiber_density"])
+    return rest.select("fov", "ty", "tx", "n", "pixel_density", "fiber_density", *[enough(f"avg_{p}") for p in properties])
+
+
+def anchored(cells: DataFrame, radius: int, anchor: str) -> DataFrame:
+    """Cells with a flag that tells whether a cell of type ``anchor`` lies within ``radius`` (itself included)."""
+    near = pairs(cells, radius, anchors=True).groupBy("fov", "label").agg(F.max(F.col("nb_type") == anchor).alias("near_anchor"))
+    return cells.join(near, ["fov", "label"], "left").withColumn("near_anchor", F.coalesce("near_anchor", F.lit(False)))
+
+
+def cluster_contacts(cells: DataFrame, radius: int, marker: str, limit: float) -> DataFrame:
+    """Per fov, contacts between cells with the marker above a limit, each pair once."""
+    hot = cells.filter(F.col(marker) > limit)
+    return pairs(hot, radius).filter("label < nb_label").groupBy("fov").agg(F.count(F.lit(1)).alias("n"))
+
+
+def row_norms(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+    """Sum, Euclidean norm and largest absolute value of the columns of each row."""
+    total = sum((F.col(c) for c in columns), F.lit(0.0))
+    square = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
+    return rows.select(*keep, F.round(total, 6).alias("total"), F.round(F.sqrt(square), 6).alias("l2"), F.round(F.greatest(*[F.abs(c).cast("double") for c in columns], F.lit(0.0)), 6).alias("linf"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import EXTRACTION, MORPHOLOGY
 from ..operators import clusters, labels, pixels, spatial
 from ..sources import tables
-from . import masks
+from . import masks, more
 
 RADIUS = 100
 TYPES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -68,13 +68,13 @@ _ALL: dict = {
     "close_cell_pairs": (lambda s, d: spatial.close_cell_pairs(_c(s, d), RADIUS), f"WITH {PAIRS} SELECT cell_type type_a, nb_type type_b, count(*) n FROM pairs GROUP BY ALL"),
     "shannon_diversity": (lambda s, d: spatial.diversity(_c(s, d), RADIUS), f"WITH {COUNTS}, s AS (SELECT *, n / sum(n) OVER (PARTITION BY fov, label) s FROM counts) SELECT fov, label, round(-sum(s * log2(s)), 6) diversity FROM s GROUP BY ALL"),
     "mixing_scores": (
-        lambda s, d: spatial.mixing_scores(_c(s, d), RADIUS, T, R),
-        f"""WITH {PAIRS}, sz AS (SELECT fov, count(*) FILTER (cell_type = '{T}') nt, count(*) FILTER (cell_type = '{R}') nr FROM cells GROUP BY fov),
-        sn AS (SELECT fov, count(*) FILTER (cell_type = '{T}' AND nb_type = '{T}') tt, count(*) FILTER (cell_type = '{R}' AND nb_type = '{R}') rr, count(*) FILTER (cell_type = '{R}' AND nb_type = '{T}') rt FROM pairs GROUP BY fov),
-        j AS (SELECT sz.fov, nt + nr >= 10 AND nt > 0 AND nr > 0 AND nt <= 5 * nr AND nr <= 5 * nt ok, coalesce(tt, 0) tt, coalesce(rr, 0) rr, coalesce(rt, 0) rt FROM sz LEFT JOIN sn ON sz.fov = sn.fov)
-        SELECT fov, CASE WHEN ok THEN round(rt / nullif(CAST(rt + tt AS DOUBLE), 0), 6) END percent, CASE WHEN ok THEN round(rt / nullif(CAST(tt + rr AS DOUBLE), 0), 6) END homogeneous FROM j""",
+        lambda s, d: spatial.mixing_scores(_c(s, d), RADIUS, [T], [R], 5, 10),
+        f"""WITH {PAIRS}, m AS (SELECT fov, label, cell_type, count(*) FILTER (nb_type = '{T}') t, count(*) FILTER (nb_type = '{R}') r FROM pairs GROUP BY ALL),
+        g AS (SELECT fov, count(*) FILTER (cell_type = '{T}') nt, count(*) FILTER (cell_type = '{R}') nr, sum(t) FILTER (cell_type = '{T}') tt, sum(r) FILTER (cell_type = '{T}') tr, sum(r) FILTER (cell_type = '{R}') rr FROM m GROUP BY fov),
+        j AS (SELECT f.fov, nt + nr >= 10 AND nt > 0 AND nr > 0 AND nt <= 5 * nr AND nr <= 5 * nt ok, tt, tr, rr, coalesce(nt + nr, 0) n FROM (SELECT DISTINCT fov FROM cells) f LEFT JOIN g ON f.fov = g.fov)
+        SELECT fov, CASE WHEN ok THEN round(tr / nullif(CAST(tr + tt AS DOUBLE), 0), 6) END percent, CASE WHEN ok THEN round(tr / nullif(CAST(tt + rr AS DOUBLE), 0), 6) END homogeneous, n FROM j""",
     ),
-    "cell_ratios": (lambda s, d: spatial.cell_ratios(_c(s, d), T, R), f"WITH {CELLS}, n AS (SELECT fov, count(*) FILTER (cell_type = '{T}') t, count(*) FILTER (cell_type = '{R}') r FROM cells GROUP BY fov) SELECT fov, CASE WHEN t > 0 AND r > 0 THEN round(t / CAST(r AS DOUBLE), 6) END cell_ratio FROM n"),
+    "cell_ratios": (lambda s, d: spatial.cell_ratios(_c(s, d), RADIUS, [T], [R]), f"WITH {PAIRS}, c AS (SELECT DISTINCT fov, label, cell_type FROM pairs), n AS (SELECT f.fov, count(*) FILTER (cell_type = '{T}') t, count(*) FILTER (cell_type = '{R}') r FROM (SELECT DISTINCT fov FROM cells) f LEFT JOIN c ON f.fov = c.fov GROUP BY f.fov) SELECT fov, CASE WHEN t > 0 AND r > 0 THEN round(t / CAST(r AS DOUBLE), 6) END cell_ratio, CASE WHEN t > 0 AND r > 0 THEN round(r / CAST(t AS DOUBLE), 6) END reverse_ratio FROM n"),
     "mean_knn_distance": (
         lambda s, d: spatial.mean_knn_distance(_c(s, d), 5),
         f"WITH {CELLS}, n AS (SELECT a.fov, a.label, b.cell_type nb_type, {D2} d2, row_number() OVER (PARTITION BY a.fov, a.label, b.cell_type ORDER BY {D2}, b.label) r FROM cells a JOIN cells b ON a.fov = b.fov AND {D2} > 0) SELECT fov, label, nb_type, CASE WHEN count(*) = 5 THEN round(avg(sqrt(d2)), 6) END mean_distance FROM n WHERE r <= 5 GROUP BY ALL",
@@ -122,5 +122,5 @@ _ALL: dict = {
     "topics": (lambda s, d: clusters.topics(_neighbour_vectors(s, d), 3, ["fov", "label"]), None),
 }
 
-QUERIES = {k: v[0] for k, v in _ALL.items()} | masks.QUERIES
-ORACLES: dict[str, str] = {k: v[1] for k, v in _ALL.items() if v[1]} | masks.ORACLES
+QUERIES = {k: v[0] for k, v in _ALL.items()} | masks.QUERIES | more.QUERIES
+ORACLES: dict[str, str] = {k: v[1] for k, v in _ALL.items() if v[1]} | masks.ORACLES | more.ORACLES

@@ -43,9 +43,3 @@ def fibers(spark: SparkSession, path: str) -> DataFrame:
 def write_split(df: DataFrame, path: str, column: str, fmt: str = "parquet") -> None:
     """One folder per distinct value of ``column``."""
     df.write.mode("overwrite").partitionBy(column).format(fmt).save(path)
-
-
-def read_csv(spark: SparkSession, path: str, schema: str, tag: str | None = None) -> DataFrame:
-    """CSV files by an explicit schema; ``tag`` adds each row's file name."""
-    df = spark.read.option("header", True).schema(schema).csv(path)
-    return df.withColumn(tag, F.col("_metadata.file_name")) if tag else df

@@ -279,3 +279,16 @@ def write_log(spark: SparkSession, values: dict, path: str) -> None:
     """One line ``name: value`` an entry."""
     rows = [(f"{k}: {v if isinstance(v, str) else json.dumps(v)}",) for k, v in values.items()]
     spark.createDataFrame(rows or [("",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def copy_rows(rows: DataFrame, target: str) -> list[str]:
+    """Files (path, content) written under their names below ``target``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [f"{target.rstrip('/')}/{p.rsplit('/', 1)[1]}" for p in batch["path"]]
+            for file, data in zip(made, batch["content"], strict=True):
+                _save(file, data)
+            yield pd.DataFrame({"file": made})
+
+    return sorted(r[0] for r in rows.mapInPandas(run, "file string").collect())  # a row a file

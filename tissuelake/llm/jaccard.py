@@ -25,11 +25,12 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count, islice
+from itertools import count, islice
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,8 @@ HASHES = BANDS * ROWS
 STEP = 16
 BLOCK, MOST = 512, 8192
 PAIRS = 1 << 16
+#: Characters that are cut into words together.
+SLICE = 1 << 21
 BITMAP_BITS = 24
 MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 OFFSETS = mix64(np.arange(1001, HASHES + 1001, dtype=np.uint64))
@@ -53,33 +56,32 @@ def normalised(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def digest(text: str) -> bytes:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def digest(text: str | bytes) -> bytes:
+    return hashlib.blake2b(text if isinstance(text, bytes) else text.encode(), digest_size=16).digest()
 
 
 class _Names:
     """128 bits of words, kept between batches; begun anew once ``most`` words are known."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
         self.bits = np.zeros((1024, 2), np.uint64)
 
-    def find(self, words: list[list[str]], total: int) -> tuple[np.ndarray, np.ndarray]:
-        """The number of every word in order, and the bits by number."""
+    def find(self, words: list[bytes]) -> np.ndarray:
         if len(self.number) > self.most:
             self._clear()
         before = len(self.number)
-        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, total)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         new = len(self.number) - before
         while len(self.bits) < before + new:
             self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
         made = b"".join(map(digest, islice(reversed(self.number), new)))
         self.bits[before : before + new] = np.frombuffer(made, np.uint64).reshape(-1, 2)[::-1]
-        return out, self.bits
+        return self.bits[at]
 
 
 @lru_cache(1)
@@ -90,22 +92,25 @@ def _names() -> _Names:
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """128 bits (two columns) of all shingles in order, and how many each normalised text has (0 for an empty one)."""
-    split = [t.split(" ") if t else [] for t in texts]
-    words = np.array([len(w) for w in split], np.int64)
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), pattern=" ")
+    words = np.where([bool(t) for t in texts], np.diff(split.offsets.to_numpy()), 0)
+    flat = split.flatten()
+    found = flat.filter(pc.greater(pc.binary_length(flat), 0)).dictionary_encode()
     total = int(words.sum())
     counts = np.where(words > 0, np.maximum(words - WORDS + 1, 1), 0)
-    word, bits = _names().find(split, total)
     names = np.zeros((total + WORDS, 2), np.uint64)
-    names[:total] = bits[word]
-    at = gather(np.cumsum(words) - words, counts)
-    short = bool((words[words > 0] < WORDS).any())
-    last = np.repeat(np.cumsum(words), counts) if short else None
-    out = np.zeros((len(at), 2), np.uint64)
+    names[:total] = _names().find(found.dictionary.cast(pa.large_binary()).to_pylist())[found.indices.to_numpy(zero_copy_only=False)]
+    every = np.zeros((total, 2), np.uint64)
     for i in range(WORDS):
-        here = names[at + i]
-        if short:
-            here = np.where((at + i < last)[:, None], here, np.uint64(i))
-        out = mix64(out ^ np.uint64(i)) + here
+        every = mix64(every ^ np.uint64(i)) + names[i : total + i]
+    first = np.cumsum(words) - words
+    out = every[gather(first, counts)]
+    short = np.flatnonzero((words > 0) & (words < WORDS))
+    if len(short):  # these end before their fifth word
+        made = np.zeros((len(short), 2), np.uint64)
+        for i in range(WORDS):
+            made = mix64(made ^ np.uint64(i)) + np.where((i < words[short])[:, None], names[first[short] + i], np.uint64(i))
+        out[(np.cumsum(counts) - counts)[short]] = made
     return mix64(out), counts
 
 
@@ -152,7 +157,7 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, "text"):
+            for part, texts in text_slices(batch, "text", SLICE):
                 texts = [normalised(t) for t in texts]
                 hashes, counts = shingles(texts)
                 sig = np.zeros((len(texts), HASHES), np.uint16)
@@ -259,7 +264,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, nameless = held.value, set()
         for batch in batches:
-            for part, texts in text_slices(batch, "text"):
+            for part, texts in text_slices(batch, "text", SLICE):
                 hits, names, kept, no_id = [], [], [], part.column(0).is_null().to_pylist()
                 for k, t in enumerate(map(normalised, texts)):
                     rid = digest(t)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import EXTRACTION, MORPHOLOGY
-from ..operators import cells, clusters, labels, masks, pixels, pixie, spatial, topics
+from ..operators import cells, clusters, fibers, labels, masks, pixels, pixie, spatial, topics
 from ..sources import tables
-from .masks import CELLS, D2, RADIUS, TYPES
+from .masks import CELLS, D2, RADIUS, TYPES, _images
 
 CHANNELS = ["q", "p", "d", "t"]
 PIXELS = "pixels AS (SELECT CAST(c_nationkey AS BIGINT) fov, CAST(o_custkey AS BIGINT) AS label, CAST(l_quantity AS DOUBLE) q, CAST(l_extendedprice AS DOUBLE) / 1000 p, round(CAST(l_discount AS DOUBLE) * 100) d, round(CAST(l_tax AS DOUBLE) * 100) t, l_returnflag || l_linestatus AS cluster FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
@@ -124,6 +124,11 @@ _ALL: dict = {
         f"WITH {PIXELS}, m AS (SELECT cluster, CASE WHEN cluster IN ('AF', 'AO') THEN 1 WHEN cluster IN ('NF', 'NO') THEN 2 ELSE 3 END meta, count(*) n FROM pixels GROUP BY cluster) SELECT meta, 'meta' || meta AS name, CAST(sum(n) AS BIGINT) n FROM m GROUP BY meta",
     ),
     "meta_averages": (lambda s, d: pixie.averages(_p(s, d), "cluster", CHANNELS), f"WITH {PIXELS} SELECT cluster, " + ", ".join(f"round(avg({c}), 6) {c}" for c in CHANNELS) + ", count(*) count FROM pixels GROUP BY cluster"),
+    "segment_fibers": (lambda s, d: fibers.segment_fibers(_images(s), 1, sigma=1, divisor=4, widths=(1, 2), least=3), None),
+    "fiber_table": (
+        lambda s, d: fibers.fiber_table(_disc(s, d)).select("fov", "label", "area", F.round("major", 4).alias("major"), F.round("cy", 6).alias("cy"), F.round("cx", 6).alias("cx")),
+        f"WITH {DISCS}, m AS (SELECT fov, label, count(*) area, avg(y) cy, avg(x) cx, var_pop(y) vy, var_pop(x) vx, covar_pop(y, x) c FROM disc GROUP BY ALL) SELECT fov, label, area, round(4 * sqrt((vy + vx + sqrt(4 * c * c + (vy - vx) * (vy - vx))) / 2), 4) major, round(cy, 6) cy, round(cx, 6) cx FROM m",
+    ),
     "fiber_summary": (lambda s, d: spatial.fiber_summary(_fibers(s, d), 512, PROPERTIES), f"WITH {FIBERS} SELECT fov, round(100 * sum(area) / 262144.0::DOUBLE, 6) pixel_density, round(100 * count(DISTINCT label) / 262144.0::DOUBLE, 6) fiber_density, " + ", ".join(f"round(avg({p}), 6) avg_{p}" for p in PROPERTIES) + " FROM fibers GROUP BY fov"),
     "tile_summary": (
         lambda s, d: spatial.tile_summary(_fibers(s, d), 512, 64, 2, PROPERTIES),

@@ -411,3 +411,31 @@ def test_kept_and_replaced_outputs(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/log").collect()) == ["a: 1", "b: [2]", "c: x"]
     tables.write_split(frame(spark, [(1, "a"), (2, "b")], "id long, k string"), f"{tmp_path}/split", "k")
     assert spark.read.parquet(f"{tmp_path}/split/k=a").count() == 1
+
+
+# -- learned summaries
+
+
+def test_pca_against_numpy(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(50, 4)) * [5, 2, 1, 0.1]
+    df = clusters.features(frame(spark, [(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double, d double"), ["a", "b", "c", "d"])
+    got = clusters.pca(df, 2, ["id"]).toPandas().sort_values("id")[["pc1", "pc2"]].to_numpy()
+    axis = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
+    want = x @ axis
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
+
+
+def test_topics_are_shares(spark):
+    rows = [(i, *((9.0, 0.0) if i % 2 else (0.0, 9.0))) for i in range(40)]
+    df = clusters.features(frame(spark, rows, "id long, a double, b double"), ["a", "b"])
+    got = clusters.topics(df, 2, ["id"]).toPandas().set_index("id").topics
+    assert all(abs(sum(t) - 1) < 1e-9 and min(t) >= 0 for t in got)
+    main = got.map(np.argmax)
+    assert main[main.index % 2 == 1].nunique() == 1 and main.nunique() == 2
+
+
+def test_difference_rows(spark):
+    df = frame(spark, [(1, 1, 0, 0), (1, 2, 0, 3), (1, 3, 9, 0)], "fov long, label long, cy long, cx long")
+    rows = sorted(map(tuple, cells.difference_rows(cells.spanning_tree(df)).collect()))
+    assert rows == [(1, 1, 1, 1), (1, 1, 2, -1), (1, 2, 1, 1), (1, 2, 3, -1)]

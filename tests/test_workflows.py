@@ -92,3 +92,9 @@ def test_names_and_copies(spark, tmp_path):
     copies = workflows.copy_files(spark, f"{tmp_path}/m", "fov1*", f"{tmp_path}/copy")
     assert [c.rsplit("/", 1)[1] for c in copies] == ["fov1_whole_cell.tiff"]
     assert files.read_masks(spark, f"{tmp_path}/copy", "_whole_cell").count() == 256
+
+
+def test_outlines(spark, tmp_path):
+    workflows.save_outlines(mask(spark, [1]), f"{tmp_path}/o")
+    rows = files.read_masks(spark, f"{tmp_path}/o", "_outlines").filter("label = 6")
+    assert {(r.y, r.x) for r in rows.collect()} == {(4 + i, 4 + j) for i in range(3) for j in range(3)} - {(5, 5)}

@@ -197,3 +197,10 @@ def compartment_table(signal: DataFrame, nuclei: DataFrame, channels: list[str],
     rounded = lambda c: F.round(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)), 6).alias(c)
     ratio = F.round(F.coalesce(F.col("area_nuclear") / F.col("area"), F.lit(0.0)), 6).alias("nc_ratio")
     return both.select("fov", "label", *[rounded(c) for c in names], *[rounded(f"{c}_nuclear") for c in names], ratio)
+
+
+def difference_rows(tree: DataFrame) -> DataFrame:
+    """The difference matrix of a tree's edges as rows (fov, edge, label, sign): +1 for one end, -1 for the other."""
+    edge = F.row_number().over(Window.partitionBy("fov").orderBy("a", "b"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("label"), F.lit(1).alias("sign")), F.struct(F.col("b").alias("label"), F.lit(-1).alias("sign"))))
+    return tree.withColumn("edge", edge).select("fov", "edge", ends.alias("e")).select("fov", "edge", "e.label", "e.sign")

@@ -169,3 +169,9 @@ def copy_files(spark: SparkSession, source: str, pattern: str, target: str) -> l
     """Copies the files below ``source`` whose names match a glob; names the copies."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(source)
     return files.copy_rows(rows.select("path", "content"), target)
+
+
+def save_outlines(mask: DataFrame, path: str, ending: str = "_outlines") -> list[str]:
+    """A label image a fov that holds the labels' edge pixels alone."""
+    rim = masks.edge(mask).select("fov", "y", "x", F.when(F.col("edge"), F.col("label")).otherwise(0).alias("label"))
+    return files.write_masks(rim, path, ending)

@@ -22,10 +22,7 @@ others; only the class of a group that has no id at all is null. Other columns a
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import count, islice
 from math import comb
 
 import numpy as np
@@ -46,7 +43,7 @@ STEP = 16
 BLOCK, MOST = 512, 8192
 PAIRS = 1 << 16
 #: Characters that are cut into words together.
-SLICE = 1 << 21
+SLICE = 1 << 20
 BITMAP_BITS = 24
 MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 OFFSETS = mix64(np.arange(1001, HASHES + 1001, dtype=np.uint64))
@@ -56,38 +53,8 @@ def normalised(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def digest(text: str | bytes) -> bytes:
-    return hashlib.blake2b(text if isinstance(text, bytes) else text.encode(), digest_size=16).digest()
-
-
-class _Names:
-    """128 bits of words, kept between batches; begun anew once ``most`` words are known."""
-
-    def __init__(self, most: int = 500_000):
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = defaultdict(count().__next__)
-        self.bits = np.zeros((1024, 2), np.uint64)
-
-    def find(self, words: list[bytes]) -> np.ndarray:
-        if len(self.number) > self.most:
-            self._clear()
-        before = len(self.number)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        new = len(self.number) - before
-        while len(self.bits) < before + new:
-            self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
-        made = b"".join(map(digest, islice(reversed(self.number), new)))
-        self.bits[before : before + new] = np.frombuffer(made, np.uint64).reshape(-1, 2)[::-1]
-        return self.bits[at]
-
-
-@lru_cache(1)
-def _names() -> _Names:
-    """One a worker process."""
-    return _Names()
+def digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +66,8 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = int(words.sum())
     counts = np.where(words > 0, np.maximum(words - WORDS + 1, 1), 0)
     names = np.zeros((total + WORDS, 2), np.uint64)
-    names[:total] = _names().find(found.dictionary.cast(pa.large_binary()).to_pylist())[found.indices.to_numpy(zero_copy_only=False)]
+    bits = b"".join(map(digest, found.dictionary.cast(pa.large_binary()).to_pylist()))
+    names[:total] = np.frombuffer(bits, np.uint64).reshape(-1, 2)[found.indices.to_numpy(zero_copy_only=False)]
     every = np.zeros((total, 2), np.uint64)
     for i in range(WORDS):
         every = mix64(every ^ np.uint64(i)) + names[i : total + i]
@@ -163,7 +131,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 sig = np.zeros((len(texts), HASHES), np.uint16)
                 sig[counts > 0] = minhashes(hashes[:, 0], counts[counts > 0])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(sig.view(np.int64).ravel()))
-                rid = pa.array([digest(t) if t else None for t in texts], pa.binary())
+                rid = pa.array([digest(t.encode()) if t else None for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), rid, bands], ["doc_id", "rid", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(worker(run), "doc_id long, rid binary, sig array<long>")
@@ -244,7 +212,7 @@ def named(docs: DataFrame, rid_col: str = "rid") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                rid = [digest(t) if t else None for t in map(normalised, texts)]
+                rid = [digest(t.encode()) if t else None for t in map(normalised, texts)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rid, pa.binary())], [*part.schema.names, rid_col])
 
     return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, T.StructField(rid_col, T.BinaryType())]))
@@ -267,7 +235,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part, texts in text_slices(batch, "text", SLICE):
                 hits, names, kept, no_id = [], [], [], part.column(0).is_null().to_pylist()
                 for k, t in enumerate(map(normalised, texts)):
-                    rid = digest(t)
+                    rid = digest(t.encode())
                     w = int.from_bytes(rid[: BITMAP_BITS // 8], "big")
                     if t and bitmap[w >> 5] >> (w & 31) & 1:
                         if no_id[k]:  # once a task: any number of rows may have no id

@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .distances import cluster_sums
+
 
 def features(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
@@ -29,28 +31,21 @@ def best_kmeans(vectors: DataFrame, k: int, starts: int = 10, seed: int = 42) ->
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def silhouette(rows: DataFrame, columns: list[str], cluster: str, subsample: int | None = None, seed: int = 42, blocks: int = 8) -> DataFrame:
+def silhouette(rows: DataFrame, columns: list[str], cluster: str, subsample: int | None = None, seed: int = 42) -> DataFrame:
     """One row: the mean Euclidean silhouette over rows, from exact distances between all of them.
 
-    ``subsample`` takes that many rows of every cluster (all of smaller ones), chosen by a hash; rows meet block by block.
-    Rows alone in their cluster score 0; with one cluster the result is null.
+    ``subsample`` takes that many rows of every cluster (all of smaller ones), chosen by a hash. Rows alone in their
+    cluster score 0; with one cluster the result is null.
     """
-    v = F.array(*[F.col(c).cast("double") for c in columns])
-    named = rows.select(F.col(cluster).alias("g"), v.alias("v"))
     if subsample is not None:
-        order = Window.partitionBy("g").orderBy(F.xxhash64(F.lit(seed), "v"), "v")
-        named = named.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= subsample).drop("r")
-    points = named.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(c)
-    left = points.select("g", "v", "n", "b", every("c"))
-    right = points.select(F.col("g").alias("h"), F.col("v").alias("v2"), F.col("n").alias("m"), F.col("b").alias("c"), every("b"))
-    far = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    met = left.join(right, ["b", "c"]).groupBy("g", "v", "n", "h").agg(F.sum(far * F.col("m")).alias("s"), F.sum("m").alias("m"))
+        v = F.array(*[F.col(c).cast("double") for c in columns])
+        order = Window.partitionBy(cluster).orderBy(F.xxhash64(F.lit(seed), v), v)
+        rows = rows.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= subsample).drop("__r")
     own, other = F.col("g") == F.col("h"), F.col("g") != F.col("h")
-    each = met.groupBy("g", "v", "n").agg(
-        F.max(F.when(own & (F.col("m") > 1), F.col("s") / (F.col("m") - 1))).alias("a"), F.min(F.when(other, F.col("s") / F.col("m"))).alias("b")
+    each = cluster_sums(rows, cluster, columns).groupBy("b", "i", "g", "n").agg(
+        F.max(F.when(own & (F.col("m") > 1), F.col("s") / (F.col("m") - 1))).alias("near"), F.min(F.when(other, F.col("s") / F.col("m"))).alias("far")
     )
-    score = F.when(F.col("b").isNull(), None).when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    score = F.when(F.col("far").isNull(), None).when(F.col("near").isNull() | (F.greatest("near", "far") == 0), 0.0).otherwise((F.col("far") - F.col("near")) / F.greatest("near", "far"))
     return each.agg(F.round(F.sum(score * F.col("n")) / F.sum(F.when(score.isNotNull(), F.col("n"))), 6).alias("silhouette"))
 
 

@@ -185,24 +185,6 @@ def mean_knn_from_pairs(distances: DataFrame, k: int) -> DataFrame:
     return near.groupBy("fov", "label", "nb_type").agg(F.round(F.when(F.count(F.lit(1)) == k, F.avg("distance")), 6).alias("mean_distance"))
 
 
-def pair_distance_sums(rows: DataFrame, group: str, features: list[str], blocks: int = 8) -> DataFrame:
-    """Per group the sum of Euclidean distances over its unordered pairs of rows, and its number of rows.
-
-    A row meets its group's rows block by block: a group of any size is spread over blocks * blocks keys.
-    """
-    vector = F.array(*[F.col(f).cast("double") for f in features])
-    # the block comes from the values, so that equal rows fall together and a retry finds the same ones
-    named = rows.select(F.col(group).alias("g"), vector.alias("v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    named = named.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
-    other = named.select("g", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("b").alias("c"))
-    left = named.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = other.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    far = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    sums = left.join(right, ["g", "b", "c"]).groupBy("g").agg((F.sum(far * F.col("n") * F.col("n2")) / 2).alias("s"))
-    size = named.groupBy("g").agg(F.sum("n").alias("n"))
-    return size.join(sums, "g").select(F.col("g").alias(group), F.col("s").alias("distance_sum"), "n")
-
-
 def fiber_summary(fibers: DataFrame, side: int, properties: list[str]) -> DataFrame:
     """Per fov the two densities of ``fiber_density`` and the mean of every property (nulls left out)."""
     means = fibers.groupBy("fov").agg(*[F.round(F.avg(p), 6).alias(f"avg_{p}") for p in properties])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import features, silhouette
-from .spatial import pair_distance_sums
+from .distances import pair_sums
 
 FEATURIZATIONS = ("cluster", "marker", "avg_marker", "count")
 
@@ -41,7 +41,7 @@ def format_cells(cells: DataFrame, markers: list[str] | None = None, clusters: l
 
 def within_cluster_sums(rows: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
     """One row: over clusters, the sum of distances between a cluster's rows over twice their number."""
-    sums = pair_distance_sums(rows, cluster, columns)
+    sums = pair_sums(rows, cluster, columns)
     return sums.agg(F.round(F.sum(F.col("distance_sum") / (2 * F.col("n"))), 6).alias("within"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import EXTRACTION, MORPHOLOGY
-from ..operators import cells, clusters, fibers, labels, masks, pixels, pixie, spatial, topics
+from ..operators import cells, clusters, distances, fibers, labels, masks, pixels, pixie, spatial, topics
 from ..sources import tables
 from .masks import CELLS, D2, RADIUS, TYPES, _images
 
@@ -101,7 +101,7 @@ _ALL: dict = {
         e AS (SELECT fov, label, max(s / (n - 1)) FILTER (g = h AND n > 1) a, min(s / n) FILTER (g <> h) b FROM p GROUP BY fov, label, g)
         SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) silhouette FROM e""",
     ),
-    "pair_distance_sums": (lambda s, d: spatial.pair_distance_sums(_matrix(s, d), "fov", TYPES).withColumn("distance_sum", F.round("distance_sum", 4)), f"WITH {MATRIX} SELECT a.fov, round(sum({FAR}) / 2, 4) distance_sum, CAST(sqrt(count(*)) AS BIGINT) n FROM matrix a JOIN matrix b ON a.fov = b.fov GROUP BY a.fov"),
+    "pair_distance_sums": (lambda s, d: distances.pair_sums(_matrix(s, d), "fov", TYPES).withColumn("distance_sum", F.round("distance_sum", 4)), f"WITH {MATRIX} SELECT a.fov, round(sum({FAR}) / 2, 4) distance_sum, CAST(sqrt(count(*)) AS BIGINT) n FROM matrix a JOIN matrix b ON a.fov = b.fov GROUP BY a.fov"),
     "cluster_types": (lambda s, d: _profile(s, d, 1), f"WITH {MATRIX} SELECT 'Cluster' || (label % 4 + 1) AS cluster, " + ", ".join(f"count(*) FILTER (cell_type = '{t}') AS \"{t}\"" for t in TYPES) + " FROM matrix GROUP BY 1"),
     "cluster_markers": (lambda s, d: _profile(s, d, 2), f"WITH {MATRIX} SELECT 'Cluster' || (m.label % 4 + 1) AS cluster, round(avg(cy), 6) cy, round(avg(cx), 6) cx FROM matrix m JOIN cells c ON c.fov = m.fov AND c.label = m.label GROUP BY 1"),
     "profile_zscores": (lambda s, d: clusters.profile_zscores(_profile(s, d, 2), ["cy", "cx"], "cluster"), f"WITH {MATRIX}, m AS (SELECT 'Cluster' || (m.label % 4 + 1) AS cluster, round(avg(cy), 6) cy, round(avg(cx), 6) cx FROM matrix m JOIN cells c ON c.fov = m.fov AND c.label = m.label GROUP BY 1) SELECT cluster, round((cy - (SELECT avg(cy) FROM m)) / (SELECT stddev_pop(cy) FROM m), 6) cy, round((cx - (SELECT avg(cx) FROM m)) / (SELECT stddev_pop(cx) FROM m), 6) cx FROM m"),

@@ -19,6 +19,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from .common import without, worker
 LONG = 1024
 NONE = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE = range(4)
-PART_CHARS = 1 << 18
+#: Characters that are encoded together.
+PART_CHARS = 1 << 19
 
 
 def default_ranks() -> str:
@@ -278,8 +280,7 @@ class Encoder:
         if len(self.known) + len(sample) > self.max_cache:
             self._clear()
         names = [text[i:j] for i, j in zip(begin[sample].tolist(), stop[sample].tolist(), strict=True)]
-        get = self.known.get
-        where = np.fromiter((get(x, -1) for x in names), np.int64, len(names))
+        where = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(where < 0)
         if len(new):
             first = len(self.known)
@@ -357,7 +358,7 @@ def encoder(ranks_path: str) -> Encoder:
     return Encoder(ranks_path)
 
 
-def text_slices(batch: pa.RecordBatch, text_col: str, chars: int = PART_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def text_slices(batch: pa.RecordBatch, text_col: str, chars: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """The batch in slices of about ``chars`` characters."""
     texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
     i = 0
@@ -377,7 +378,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks_pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for part, texts in text_slices(batch, text_col):
+            for part, texts in text_slices(batch, text_col, PART_CHARS):
                 ids, counts = enc.encode_batch(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids_col])

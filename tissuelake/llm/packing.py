@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import default_ranks, encoder, text_slices
+from .bpe import PART_CHARS, default_ranks, encoder, text_slices
 from .common import worker
 
 END_ID = 1
@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, window: int = 4_000_00
             names, held, size = [], [], 0
 
         for batch in batches:
-            for part, texts in text_slices(batch, "text"):
+            for part, texts in text_slices(batch, "text", PART_CHARS):
                 ids, counts = enc.encode_batch(texts)
                 at = np.cumsum(counts) - counts
                 for name, a, n in zip(part.column(0).to_pylist(), at.tolist(), counts.tolist(), strict=True):

@@ -34,7 +34,9 @@ def per_image(images: DataFrame, keys: list[str], value: str, out: str, kind: st
 
 
 def blur(image: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian, cut at four sigmas, the image mirrored at its rim."""
+    """Separable Gaussian, cut at four sigmas, the image mirrored at its rim; the image itself without a width."""
+    if sigma <= 0:
+        return image
     reach = int(4 * sigma + 0.5)
     taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     taps /= taps.sum()

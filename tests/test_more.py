@@ -439,3 +439,10 @@ def test_difference_rows(spark):
     df = frame(spark, [(1, 1, 0, 0), (1, 2, 0, 3), (1, 3, 9, 0)], "fov long, label long, cy long, cx long")
     rows = sorted(map(tuple, cells.difference_rows(cells.spanning_tree(df)).collect()))
     assert rows == [(1, 1, 1, 1), (1, 1, 2, -1), (1, 2, 1, 1), (1, 2, 3, -1)]
+
+
+def test_fovs_may_be_names(spark):
+    mask = frame(spark, [("f", y, x, 1) for y in range(4) for x in range(4)], "fov string, y long, x long, label long")
+    assert cells.hull_features(mask).first().fov == "f"
+    spots = frame(spark, [("f", 1, 0, 0), ("f", 2, 0, 3)], "fov string, label long, cy long, cx long")
+    assert cells.spanning_tree(spots).first().fov == "f"

@@ -90,7 +90,7 @@ def hull_features(mask: DataFrame, small: int = 10, compact: float = 60, large:
 
     pixels = F.collect_list(F.struct("y", "x"))
     cells = mask.filter("label > 0").groupBy("fov", "label").agg(pixels.alias("p")).select("fov", "label", "p.y", "p.x")
-    return cells.mapInPandas(run, HULL)
+    return cells.mapInPandas(run, HULL.replace("fov long", f"fov {mask.schema['fov'].dataType.simpleString()}", 1))
 
 
 def center_weighting(signal: DataFrame, channel: str) -> DataFrame:
@@ -168,7 +168,8 @@ def spanning_tree(cells: DataFrame) -> DataFrame:
             best = np.minimum(best, d)
         return pd.DataFrame(out, columns=["fov", "a", "b", "d2"])
 
-    return cells.select("fov", "label", "cy", "cx").groupBy("fov").applyInPandas(run, "fov long, a long, b long, d2 double")
+    kind = cells.schema["fov"].dataType.simpleString()
+    return cells.select("fov", "label", "cy", "cx").groupBy("fov").applyInPandas(run, f"fov {kind}, a long, b long, d2 double")
 
 
 def compartment_table(signal: DataFrame, nuclei: DataFrame, channels: list[str], mode: str = "total_intensity", threshold: float = 0.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import collections
-import math
+import hashlib
 import random
 import re
 import zlib
@@ -11,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tissuelake.llm import ann, bpe, jaccard, langid, packing, pii, quality, topk
-from tissuelake.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
 EMPTY = "doc_id long, text string"

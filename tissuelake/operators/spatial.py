@@ -21,9 +21,44 @@ def pairs(cells: DataFrame, radius: int, anchors: bool = False, carry: tuple[str
     return left.join(right, ["fov", "gy", "gx"]).withColumn("d2", d2).filter(((F.col("d2") > 0) | F.lit(anchors)) & (F.col("d2") < radius * radius)).select("fov", "label", "cell_type", "nb_label", "nb_type", "d2", *[f"nb_{c}" for c in carry])
 
 
+PLACE = ["fov", "cy", "cx"]
+
+
+def place_pairs(places: DataFrame, held: DataFrame, radius: int, anchors: bool = False) -> DataFrame:
+    """``places`` (fov, cy, cx), each once, with the rows of ``held`` (fov, cy, cx, more) at less than the radius: fov, cy, cx, d2, more.
+
+    As in ``pairs`` distance 0 counts with ``anchors`` only. Cells of one place have the same neighbours, so what is held
+    is one row a place (and type, say), and no pair of cells is ever made: the work follows the number of places, which
+    the frame bounds, and not the square of the cells.
+    """
+    grid = lambda c: F.floor(F.col(c) / radius)
+    left = places.withColumn("gy", F.explode(F.sequence(grid("cy") - 1, grid("cy") + 1))).withColumn("gx", F.explode(F.sequence(grid("cx") - 1, grid("cx") + 1)))
+    right = held.withColumns({"gy": grid("cy"), "gx": grid("cx")}).withColumnsRenamed({"cy": "ny", "cx": "nx"})
+    d2 = (F.col("cy") - F.col("ny")) * (F.col("cy") - F.col("ny")) + (F.col("cx") - F.col("nx")) * (F.col("cx") - F.col("nx"))
+    met = left.join(right, ["fov", "gy", "gx"]).withColumn("d2", d2)
+    return met.filter(((F.col("d2") > 0) | F.lit(anchors)) & (F.col("d2") < radius * radius)).drop("gy", "gx", "ny", "nx")
+
+
+def around(cells: DataFrame, radius: int, sums: dict[str, Column], anchors: bool = False, by_type: bool = False) -> DataFrame:
+    """Per place of a cell, the totals of ``sums`` (aggregates that add up) over the cells around it, as sum_<name>.
+
+    ``by_type`` splits them by the neighbours' type, nb_type. Places without neighbours are left out.
+    """
+    kind = ["nb_type"] if by_type else []
+    held = cells.withColumn("nb_type", F.col("cell_type")).groupBy(*PLACE, *kind).agg(*[v.alias(f"sum_{c}") for c, v in sums.items()])
+    met = place_pairs(cells.select(*PLACE).distinct(), held, radius, anchors)
+    return met.groupBy(*PLACE, *kind).agg(*[F.sum(f"`sum_{c}`").alias(f"sum_{c}") for c in sums])
+
+
+def of_cells(cells: DataFrame, met: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
+    """The totals of ``around`` for every ``key`` of cells; rows of one key in several places add up."""
+    return cells.select(*dict.fromkeys([*PLACE, *[c for c in key if c in cells.columns]])).join(met, PLACE).groupBy(*key).agg(*[F.sum(f"`sum_{c}`").alias(c) for c in sums])
+
+
 def neighborhood_counts(cells: DataFrame, radius: int, self_neighbor: bool = False) -> DataFrame:
     """Neighbours of every type; with ``self_neighbor`` cells at distance 0 count, the cell itself included."""
-    return pairs(cells, radius, self_neighbor).groupBy("fov", "label", "nb_type").agg(F.count(F.lit(1)).alias("n"))
+    met = around(cells, radius, {"n": F.count(F.lit(1))}, self_neighbor, by_type=True)
+    return of_cells(cells, met, ["fov", "label", "nb_type"], ["n"])
 
 
 def neighborhood_freqs(cells: DataFrame, radius: int, self_neighbor: bool = False) -> DataFrame:

@@ -24,6 +24,7 @@ def table(path, copies):
 #: name -> (copies of the small table, the power of the number of copies by which a column grows)
 CASES = {
     "neighborhood_counts": (1, {"n": 1}),
+    "neighborhood_freqs": (1, {}),
 }
 
 

@@ -25,6 +25,7 @@ def table(path, copies):
 CASES = {
     "neighborhood_counts": (1, {"n": 1}),
     "neighborhood_freqs": (1, {}),
+    "self_neighbor_counts": (1, {"n": 1}),
 }
 
 

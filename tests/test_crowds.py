@@ -26,6 +26,7 @@ CASES = {
     "neighborhood_counts": (1, {"n": 1}),
     "neighborhood_freqs": (1, {}),
     "self_neighbor_counts": (1, {"n": 1}),
+    "self_neighbor_freqs": (1, {}),
 }
 
 

@@ -27,6 +27,7 @@ CASES = {
     "neighborhood_freqs": (1, {}),
     "self_neighbor_counts": (1, {"n": 1}),
     "self_neighbor_freqs": (1, {}),
+    "shannon_diversity": (1, {}),
 }
 
 

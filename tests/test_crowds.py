@@ -28,6 +28,7 @@ CASES = {
     "self_neighbor_counts": (1, {"n": 1}),
     "self_neighbor_freqs": (1, {}),
     "shannon_diversity": (1, {}),
+    "knn_from_pairs": (2, {}),
 }
 
 

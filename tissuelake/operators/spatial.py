@@ -163,6 +163,15 @@ def mean_knn_distance(cells: DataFrame, k: int) -> DataFrame:
     return near.groupBy("fov", "label", F.col("kind").alias("nb_type")).agg(F.round(F.when(F.count(F.lit(1)) == k, F.avg(F.sqrt("d2"))), 6).alias("mean_distance"))
 
 
+def nearest_pairs(cells: DataFrame, radius: int, k: int) -> DataFrame:
+    """Of ``pairs`` those with the k nearest cells of every type, ties by nb_label: fov, label, nb_label, nb_type, d2."""
+    first = F.row_number().over(Window.partitionBy(*PLACE, "cell_type").orderBy("label"))
+    held = cells.withColumn("r", first).filter(F.col("r") <= k).select(*PLACE, F.col("label").alias("nb_label"), F.col("cell_type").alias("nb_type"))
+    rank = F.row_number().over(Window.partitionBy(*PLACE, "nb_type").orderBy("d2", "nb_label"))
+    met = place_pairs(cells.select(*PLACE).distinct(), held, radius).withColumn("r", rank).filter(F.col("r") <= k).drop("r")
+    return cells.select("label", *PLACE).join(met, PLACE).select("fov", "label", "nb_label", "nb_type", "d2")
+
+
 def fov_density(cells: DataFrame, pixels: int) -> DataFrame:
     return cells.groupBy("fov", "cell_type").agg(F.round(F.count(F.lit(1)) * 100 / F.lit(float(pixels)), 6).alias("density"))
 

@@ -29,6 +29,7 @@ CASES = {
     "self_neighbor_freqs": (1, {}),
     "shannon_diversity": (1, {}),
     "knn_from_pairs": (2, {}),
+    "cell_ratios": (1, {}),
 }
 
 

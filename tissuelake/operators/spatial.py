@@ -87,8 +87,9 @@ def _populations(cells: DataFrame, radius: int, targets: list[str], references:
     both = set(targets) & set(references)
     if both:
         raise ValueError(f"types in both populations: {sorted(both)}")
-    contact = lambda names: F.count_if(F.col("nb_type").isin(names))
-    rows = pairs(cells, radius, self_neighbor).groupBy("fov", "label", "cell_type").agg(contact(targets).alias("t"), contact(references).alias("r"))
+    contact = lambda names: F.count_if(F.col("cell_type").isin(names))
+    met = around(cells, radius, {"t": contact(targets), "r": contact(references)}, self_neighbor)
+    rows = of_cells(cells, met, ["fov", "label", "cell_type"], ["t", "r"])
     is_t, is_r = F.col("cell_type").isin(targets), F.col("cell_type").isin(references)
     seen = rows.groupBy("fov").agg(F.count_if(is_t).alias("nt"), F.count_if(is_r).alias("nr"), F.sum(F.when(is_t, F.col("t"))).alias("tt"), F.sum(F.when(is_t, F.col("r"))).alias("tr"), F.sum(F.when(is_r, F.col("r"))).alias("rr"))
     return cells.select("fov").distinct().join(seen, "fov", "left").na.fill(0)

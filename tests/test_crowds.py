@@ -30,6 +30,7 @@ CASES = {
     "shannon_diversity": (1, {}),
     "knn_from_pairs": (2, {}),
     "cell_ratios": (1, {}),
+    "mixing_populations": (1, {"n": 1}),
 }
 
 

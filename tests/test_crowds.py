@@ -31,6 +31,7 @@ CASES = {
     "knn_from_pairs": (2, {}),
     "cell_ratios": (1, {}),
     "mixing_populations": (1, {"n": 1}),
+    "neighborhood_matrix": (1, dict.fromkeys(TYPES, 1)),
 }
 
 

@@ -68,8 +68,8 @@ def neighborhood_freqs(cells: DataFrame, radius: int, self_neighbor: bool = Fals
 
 def neighborhood_matrix(cells: DataFrame, radius: int, types: list[str], self_neighbor: bool = False) -> DataFrame:
     """Wide counts; cells without neighbours are dropped."""
-    wide = pairs(cells, radius, self_neighbor).groupBy("fov", "label", "cell_type").pivot("nb_type", types).agg(F.count(F.lit(1)))
-    return wide.na.fill(0, types)
+    met = around(cells, radius, {t: F.count_if(F.col("cell_type") == t) for t in types}, self_neighbor)
+    return of_cells(cells, met, ["fov", "label", "cell_type"], types)
 
 
 def close_cell_pairs(cells: DataFrame, radius: int) -> DataFrame:

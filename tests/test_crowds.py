@@ -32,6 +32,7 @@ CASES = {
     "cell_ratios": (1, {}),
     "mixing_populations": (1, {"n": 1}),
     "neighborhood_matrix": (1, dict.fromkeys(TYPES, 1)),
+    "cluster_markers": (1, {}),
 }
 
 

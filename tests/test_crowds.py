@@ -33,6 +33,7 @@ CASES = {
     "mixing_populations": (1, {"n": 1}),
     "neighborhood_matrix": (1, dict.fromkeys(TYPES, 1)),
     "cluster_markers": (1, {}),
+    "cluster_types": (1, dict.fromkeys(TYPES, 1)),
 }
 
 

@@ -34,6 +34,7 @@ CASES = {
     "neighborhood_matrix": (1, dict.fromkeys(TYPES, 1)),
     "cluster_markers": (1, {}),
     "cluster_types": (1, dict.fromkeys(TYPES, 1)),
+    "neighborhood_write_back": (1, {}),
 }
 
 

@@ -35,6 +35,7 @@ CASES = {
     "cluster_markers": (1, {}),
     "cluster_types": (1, dict.fromkeys(TYPES, 1)),
     "neighborhood_write_back": (1, {}),
+    "profile_zscores": (1, {}),
 }
 
 

@@ -36,6 +36,7 @@ CASES = {
     "cluster_types": (1, dict.fromkeys(TYPES, 1)),
     "neighborhood_write_back": (1, {}),
     "profile_zscores": (1, {}),
+    "featurize_count": (1, {"n": 1}),
 }
 
 

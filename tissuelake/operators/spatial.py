@@ -212,16 +212,19 @@ def featurize(cells: DataFrame, radius: int, kind: str, names: list[str] = ()) -
     ``cluster``: cells of each type in ``names``; ``marker``: cells whose marker exceeds 0.5; ``avg_marker``: the
     marker's mean; ``count``: cells.
     """
+    number = lambda c: F.col(c).cast("double")
     features = {
-        "cluster": lambda: [F.count_if(F.col("nb_type") == n).alias(n) for n in names],
-        "marker": lambda: [F.count_if(F.col(f"nb_{n}") > 0.5).alias(n) for n in names],
-        "avg_marker": lambda: [F.round(F.avg(f"nb_{n}"), 6).alias(n) for n in names],
-        "count": lambda: [F.count(F.lit(1)).alias("n")],
+        "cluster": {n: F.count_if(F.col("cell_type") == n) for n in names},
+        "marker": {n: F.count_if(F.col(n) > 0.5) for n in names if kind == "marker"},
+        "avg_marker": {f"{part}_{n}": total(number(n)) for n in names if kind == "avg_marker" for part, total in (("sum", F.sum), ("count", F.count))},
+        "count": {"n": F.count(F.lit(1))},
     }
     if kind not in features:
         raise ValueError(f"unknown featurization: {kind}")
-    met = pairs(cells, radius, anchors=True, carry=tuple(names) if "marker" in kind else ())
-    return met.groupBy("fov", "label").agg(*features[kind]())
+    made = of_cells(cells, around(cells, radius, features[kind], anchors=True), ["fov", "label"], list(features[kind]))
+    if kind == "avg_marker":
+        return made.select("fov", "label", *[F.round(F.try_divide(f"sum_{n}", f"count_{n}"), 6).alias(n) for n in names])
+    return made
 
 
 def mean_knn_from_pairs(distances: DataFrame, k: int) -> DataFrame:

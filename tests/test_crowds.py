@@ -37,6 +37,7 @@ CASES = {
     "neighborhood_write_back": (1, {}),
     "profile_zscores": (1, {}),
     "featurize_count": (1, {"n": 1}),
+    "featurize_avg_marker": (1, {}),
 }
 
 

@@ -38,6 +38,7 @@ CASES = {
     "profile_zscores": (1, {}),
     "featurize_count": (1, {"n": 1}),
     "featurize_avg_marker": (1, {}),
+    "featurize_cluster": (1, dict.fromkeys(TYPES, 1)),
 }
 
 

@@ -39,6 +39,7 @@ CASES = {
     "featurize_count": (1, {"n": 1}),
     "featurize_avg_marker": (1, {}),
     "featurize_cluster": (1, dict.fromkeys(TYPES, 1)),
+    "featurize_marker": (1, {"cy": 1, "cx": 1}),
 }
 
 

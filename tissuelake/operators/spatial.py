@@ -261,8 +261,14 @@ def anchored(cells: DataFrame, radius: int, anchor: str) -> DataFrame:
 
 def cluster_contacts(cells: DataFrame, radius: int, marker: str, limit: float) -> DataFrame:
     """Per fov, contacts between cells with the marker above a limit, each pair once."""
-    hot = cells.filter(F.col(marker) > limit)
-    return pairs(hot, radius).filter("label < nb_label").groupBy("fov").agg(F.count(F.lit(1)).alias("n"))
+    hot = cells.filter((F.col(marker) > limit) & F.col("label").isNotNull())
+    met = around(hot, radius, {"n": F.count(F.lit(1))})
+    every = hot.select(*PLACE).join(met, PLACE).groupBy("fov").agg(F.sum("sum_n").alias("n"))  # both ways, and between rows of one label
+    spots = hot.groupBy("label", *PLACE).agg(F.count(F.lit(1)).alias("m"))
+    met = spots.join(spots.select("fov", "label", F.col("cy").alias("ny"), F.col("cx").alias("nx"), F.col("m").alias("m2")), ["fov", "label"])
+    d2 = (F.col("cy") - F.col("ny")) * (F.col("cy") - F.col("ny")) + (F.col("cx") - F.col("nx")) * (F.col("cx") - F.col("nx"))
+    same = met.filter((d2 > 0) & (d2 < radius * radius)).groupBy("fov").agg(F.sum(F.col("m") * F.col("m2")).alias("same"))
+    return every.join(same, "fov", "left").select("fov", F.expr("(n - coalesce(same, 0)) div 2").alias("n")).filter("n > 0")
 
 
 def row_norms(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

@@ -41,6 +41,7 @@ CASES = {
     "featurize_cluster": (1, dict.fromkeys(TYPES, 1)),
     "featurize_marker": (1, {"cy": 1, "cx": 1}),
     "marker_contacts": (1, {"n": 2}),
+    "near_anchor": (1, {}),
 }
 
 

@@ -255,7 +255,8 @@ def tile_summary(fibers: DataFrame, side: int, tile: int, least: int, properties
 
 def anchored(cells: DataFrame, radius: int, anchor: str) -> DataFrame:
     """Cells with a flag that tells whether a cell of type ``anchor`` lies within ``radius`` (itself included)."""
-    near = pairs(cells, radius, anchors=True).groupBy("fov", "label").agg(F.max(F.col("nb_type") == anchor).alias("near_anchor"))
+    met = around(cells, radius, {"n": F.count_if(F.col("cell_type") == anchor)}, anchors=True)
+    near = of_cells(cells, met, ["fov", "label"], ["n"]).select("fov", "label", (F.col("n") > 0).alias("near_anchor"))
     return cells.join(near, ["fov", "label"], "left").withColumn("near_anchor", F.coalesce("near_anchor", F.lit(False)))
 
 

@@ -42,6 +42,7 @@ CASES = {
     "featurize_marker": (1, {"cy": 1, "cx": 1}),
     "marker_contacts": (1, {"n": 2}),
     "near_anchor": (1, {}),
+    "close_cell_pairs": (1, {"n": 2}),
 }
 
 

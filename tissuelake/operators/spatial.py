@@ -73,7 +73,9 @@ def neighborhood_matrix(cells: DataFrame, radius: int, types: list[str], self_ne
 
 
 def close_cell_pairs(cells: DataFrame, radius: int) -> DataFrame:
-    return pairs(cells, radius).groupBy(F.col("cell_type").alias("type_a"), F.col("nb_type").alias("type_b")).agg(F.count(F.lit(1)).alias("n"))
+    met = around(cells, radius, {"n": F.count(F.lit(1))}, by_type=True)
+    own = cells.groupBy(*PLACE, F.col("cell_type").alias("type_a")).agg(F.count(F.lit(1)).alias("m"))
+    return own.join(met, PLACE).groupBy("type_a", F.col("nb_type").alias("type_b")).agg(F.sum(F.col("m") * F.col("sum_n")).alias("n"))
 
 
 def diversity(cells: DataFrame, radius: int) -> DataFrame:

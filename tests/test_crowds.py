@@ -43,6 +43,7 @@ CASES = {
     "marker_contacts": (1, {"n": 2}),
     "near_anchor": (1, {}),
     "close_cell_pairs": (1, {"n": 2}),
+    "mean_knn_distance": (5, {}),
 }
 
 

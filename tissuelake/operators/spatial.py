@@ -122,8 +122,11 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, apart: Column) -> Da
     ``apart`` tells which pairs count. Rows (fov, label, kind, nb, d2, r, more): rank r from 1, ties by nb. Every fov and
     kind has a grid of its own, fine enough that nine of its squares hold some nine (k + 1) targets. A query looks at the
     squares around its own; only if its k-th neighbour is not nearer than what it has not seen, at 81 squares, and then
-    at all targets of its fov and kind. Kinds with few targets in a fov have one square.
+    at all targets of its fov and kind. Kinds with few targets in a fov have one square. As ``apart`` leaves out a nb or a
+    place, the rows of the k + 1 first nb of a place are all that can be among the nearest; a place holds no others.
     """
+    at_place = F.dense_rank().over(Window.partitionBy("fov", "kind", "ny", "nx").orderBy("nb"))
+    targets = targets.withColumn("__p", at_place).filter(F.col("__p") <= k + 1).drop("__p").persist()
     edge = F.sqrt((F.max("ny") - F.min("ny") + 1.0) * (F.max("nx") - F.min("nx") + 1.0) * (k + 1) / F.count(F.lit(1)))
     reach = F.greatest(F.max("ny") - F.min("ny"), F.max("nx") - F.min("nx")) + 1.0
     bounds = [F.min("ny").alias("y0"), F.max("ny").alias("y1"), F.min("nx").alias("x0"), F.max("nx").alias("x1")]
@@ -162,8 +165,13 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, apart: Column) -> Da
 def mean_knn_distance(cells: DataFrame, k: int) -> DataFrame:
     """Per cell and type, mean distance to the k nearest other-placed cells of the type; null with fewer than k."""
     targets = cells.select("fov", F.col("cell_type").alias("kind"), F.col("label").alias("nb"), F.col("cy").alias("ny"), F.col("cx").alias("nx"))
-    near = nearest(cells.select("fov", "label", "cy", "cx"), targets, k, F.col("d2") > 0)
-    return near.groupBy("fov", "label", F.col("kind").alias("nb_type")).agg(F.round(F.when(F.count(F.lit(1)) == k, F.avg(F.sqrt("d2"))), 6).alias("mean_distance"))
+    spots = cells.select(*PLACE).distinct().withColumn("label", F.struct("cy", "cx"))  # cells of one place have the same neighbours
+    near = nearest(spots, targets, k, F.col("d2") > 0).groupBy("fov", "label", "kind").agg(F.collect_list("d2").alias("d2"))
+    met = near.select("fov", "label.cy", "label.cx", F.col("kind").alias("nb_type"), "d2")
+    rows = cells.select("label", *PLACE).join(met, PLACE).groupBy("fov", "label", "nb_type").agg(F.collect_list("d2").alias("d2"))
+    best = F.slice(F.array_sort(F.flatten("d2")), 1, k)
+    mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + F.sqrt(x)) / k
+    return rows.select("fov", "label", "nb_type", F.round(F.when(F.size(best) == k, mean), 6).alias("mean_distance"))
 
 
 def nearest_pairs(cells: DataFrame, radius: int, k: int) -> DataFrame:

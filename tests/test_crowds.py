@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from tissuelake.operators import clusters
 from tissuelake.plans import registry
 from tissuelake.plans.masks import TYPES
 
@@ -64,3 +65,17 @@ def test_crowd(spark, tmp_path, name):
     for c, p in power.items():
         want[c] = want[c] * (COPIES // few) ** p
     pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False, atol=1.01e-6, rtol=0)
+
+
+def blobs(spark, copies):
+    rows = spark.range(60 * copies).selectExpr("id", "cast(id % 60 div 15 * 50 + id % 60 % 15 % 4 as double) a", "cast(id % 60 div 15 % 2 * 80 + id % 60 % 15 div 4 as double) b")
+    return clusters.features(rows, ["a", "b"])
+
+
+def test_kmeans_takes_equal_rows_once(spark):
+    points = clusters.weighted(blobs(spark, 500))
+    assert (points.count(), points.rdd.getNumPartitions(), points.groupBy().sum("weight").first()[0]) == (60, 1, 30_000)
+    few, many = (clusters.best_kmeans(blobs(spark, n), 4) for n in (1, 500))
+    assert many.summary.trainingCost == pytest.approx(500 * few.summary.trainingCost)
+    made = clusters.neighborhood_clusters(blobs(spark, 500), 4, ["id"]).selectExpr("id % 60 div 15 g", "cluster").distinct()
+    assert made.count() == made.select("cluster").distinct().count() == 4

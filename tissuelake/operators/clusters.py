@@ -20,14 +20,24 @@ def features(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
 
 
+def weighted(vectors: DataFrame) -> DataFrame:
+    """Distinct feature vectors with their numbers of rows as weights, which K-means takes for the rows themselves.
+
+    Some 20,000 to a partition, in a fixed order: a fit is a few hundred small jobs, so few tasks each, and starts alike.
+    """
+    found = vectors.select(vector_to_array("features").alias("v")).groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("weight")).persist()
+    parts = -(-found.count() // 20_000) or 1
+    return found.repartition(parts, "v").sortWithinPartitions("v").select(array_to_vector("v").alias("features"), "weight").persist()
+
+
 def best_kmeans(vectors: DataFrame, k: int, starts: int = 10, seed: int = 42) -> KMeansModel:
-    """The model of least cost among ``starts`` seeds; the fits run side by side on persisted vectors."""
-    vectors = vectors.persist()
+    """The model of least cost among ``starts`` seeds over all rows; the fits run side by side on persisted points."""
+    points = weighted(vectors)
     try:
         with ThreadPoolExecutor(min(starts, 4)) as pool:
-            models = list(pool.map(lambda s: KMeans(k=k, seed=s).fit(vectors), range(seed, seed + starts)))
+            models = list(pool.map(lambda s: KMeans(k=k, seed=s, weightCol="weight").fit(points), range(seed, seed + starts)))
     finally:
-        vectors.unpersist()
+        points.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

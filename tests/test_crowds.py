@@ -79,3 +79,11 @@ def test_kmeans_takes_equal_rows_once(spark):
     assert many.summary.trainingCost == pytest.approx(500 * few.summary.trainingCost)
     made = clusters.neighborhood_clusters(blobs(spark, 500), 4, ["id"]).selectExpr("id % 60 div 15 g", "cluster").distinct()
     assert made.count() == made.select("cluster").distinct().count() == 4
+
+
+def test_scan_of_equal_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(clusters, "weighted", lambda v, real=clusters.weighted: seen.append(real(v)) or seen[-1])
+    (k, one, s), (k2, many, s2) = (clusters.kmeans_scan(blobs(spark, n), range(4, 5)).first() for n in (1, 500))
+    assert k == k2 == 4 and many == pytest.approx(500 * one) and [p.count() for p in seen] == [60, 60]
+    assert 0.9 < s < s2 < 1

@@ -62,16 +62,17 @@ def silhouette(rows: DataFrame, columns: list[str], cluster: str, subsample: int
 def kmeans_scan(vectors: DataFrame, ks: range, seed: int = 42, columns: list[str] | None = None, subsample: int | None = None) -> DataFrame:
     """Inertia and Euclidean silhouette for each k, fitted side by side on persisted vectors."""
     vectors = vectors.persist()
-    columns = columns or [f"f{i}" for i in range(len(vectors.first()["features"]))]
+    columns, points = columns or [f"f{i}" for i in range(len(vectors.first()["features"]))], weighted(vectors)
     parts = vector_to_array("features")
 
     def one(k: int) -> tuple[int, float, float]:
-        model = KMeans(k=k, seed=seed).fit(vectors)
+        model = KMeans(k=k, seed=seed, weightCol="weight").fit(points)
         made = model.transform(vectors).select(*[parts[i].alias(c) for i, c in enumerate(columns)], "prediction")
         return k, float(model.summary.trainingCost), silhouette(made, columns, "prediction", subsample, seed).first()[0]
 
     with ThreadPoolExecutor(4) as pool:
         out = list(pool.map(one, ks))
+    points.unpersist()
     vectors.unpersist()
     return vectors.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
 

@@ -87,3 +87,19 @@ def test_scan_of_equal_rows(spark, monkeypatch):
     (k, one, s), (k2, many, s2) = (clusters.kmeans_scan(blobs(spark, n), range(4, 5)).first() for n in (1, 500))
     assert k == k2 == 4 and many == pytest.approx(500 * one) and [p.count() for p in seen] == [60, 60]
     assert 0.9 < s < s2 < 1
+
+
+def test_topics_of_equal_rows(spark, monkeypatch):
+    """Every row has its topics, and a vector that 500 rows share is inferred once."""
+    seen = []
+
+    class Watched(clusters.LDA):
+        def fit(self, rows):
+            model = super().fit(rows)
+            transform = model.transform
+            model.transform = lambda v: seen.append(v.count()) or transform(v)
+            return model
+
+    monkeypatch.setattr(clusters, "LDA", Watched)
+    made = clusters.topics(blobs(spark, 500), 3, ["id"]).selectExpr("id % 60 g", "topics").groupBy("g").agg({"topics": "count"})
+    assert {tuple(r) for r in made.collect()} == {(g, 500) for g in range(60)} and seen == [60]

@@ -140,8 +140,13 @@ def assign_nodes(rows: DataFrame, column: str, nodes: np.ndarray, name: str, kee
 
 
 def topics(vectors: DataFrame, k: int, keep: list[str], seed: int = 42) -> DataFrame:
-    made = LDA(k=k, seed=seed, maxIter=10).fit(vectors).transform(vectors)
-    return made.select(*keep, vector_to_array("topicDistribution").alias("topics"))
+    """Every row's topics by LDA over all rows, which are persisted for the fit's passes; equal rows have equal topics, inferred once."""
+    vectors = vectors.persist()
+    v = vector_to_array("features")
+    model = LDA(k=k, seed=seed, maxIter=10).fit(vectors)
+    each = model.transform(vectors.select(v.alias("v")).distinct().select("v", array_to_vector("v").alias("features")))
+    each = each.select("v", vector_to_array("topicDistribution").alias("topics"))
+    return vectors.withColumn("v", v).join(each, "v").select(*keep, "topics")
 
 
 def as_vector(rows: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tissuelake.operators import clusters
+from tissuelake.operators import clusters, spatial
 from tissuelake.plans import registry
 from tissuelake.plans.masks import TYPES
 
@@ -103,3 +103,13 @@ def test_topics_of_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(clusters, "LDA", Watched)
     made = clusters.topics(blobs(spark, 500), 3, ["id"]).selectExpr("id % 60 g", "topics").groupBy("g").agg({"topics": "count"})
     assert {tuple(r) for r in made.collect()} == {(g, 500) for g in range(60)} and seen == [60]
+
+
+#: learned and all-pairs queries over the neighbour matrix
+OVER_MATRIX = ["pair_distance_sums"]
+
+
+@pytest.mark.parametrize("name", OVER_MATRIX)
+def test_no_pairs_of_cells(spark, monkeypatch, name):
+    monkeypatch.setattr(spatial, "pairs", None)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0

@@ -106,7 +106,7 @@ def test_topics_of_equal_rows(spark, monkeypatch):
 
 
 #: learned and all-pairs queries over the neighbour matrix
-OVER_MATRIX = ["pair_distance_sums", "within_cluster_sums"]
+OVER_MATRIX = ["pair_distance_sums", "within_cluster_sums", "pca"]
 
 
 @pytest.mark.parametrize("name", OVER_MATRIX)
